@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,14 @@ from ..operators.changelog import current_state
 from ..sources.tables import reader
 from ..storage import materialize
 from .cooccurrence import cooccurring_pairs
+from .leaks import leaked_passages
+from .mixing import mixed_pages, source_plan, with_token_counts, word_count
+from .repetition import cutoffs, repeated_share, repetitive_pages
 from .set_joins import expand, link_counts, similar_sets
 
 MIN_TOGETHER, MIN_LIFT = 6, 5
+TOKENIZER = os.environ.get("NESTWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+TOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # the vocabulary's own
 SIMILAR, MIN_SET = Fraction(3, 5), 5
 
 
@@ -54,7 +60,66 @@ def p5_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("rec").alias("playlist_id"), F.col("id").alias("set_id"), "n_links")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p5_found": p5_found, "p5_link_counts": p5_link_counts}
+def p6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    get = reader(spark, sf_dir)
+    return leaked_passages(get("documents"), get("eval_item"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_runs(spark, sf_dir).select("doc_id", "item_id")
+
+
+def _sized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reader(spark, sf_dir)("documents").select("doc_id", "source", word_count("text").alias("size"))
+
+
+def p7_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = source_plan(_sized_pages(spark, sf_dir), reader(spark, sf_dir)("mix_target"))
+    return plan.select("source", "size", "total", "wanted", "short")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_plan(spark, sf_dir).filter("short").select("source")
+
+
+def p7_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn pages, sized in tokens of a public tokenizer."""
+    get = reader(spark, sf_dir)
+    pages = with_token_counts(get("documents").select("doc_id", "source", "text"), "text", TOKENIZER, TOKEN_PATTERN)
+    return mixed_pages(materialize(pages, "token-counts"), get("mix_target"))[0]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_pages(materialize(_sized_pages(spark, sf_dir), "page-sizes"), reader(spark, sf_dir)("mix_target"))[1]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_share(reader(spark, sf_dir)("documents"))
+
+
+def p8_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoffs(reader(spark, sf_dir)("documents"))[0]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetitive_pages(reader(spark, sf_dir)("documents")).select("doc_id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_scores": p1_scores,
+    "p5_found": p5_found,
+    "p5_link_counts": p5_link_counts,
+    "p6_found": p6_found,
+    "p6_runs": p6_runs,
+    "p7_found": p7_found,
+    "p7_plan": p7_plan,
+    "p7_draw": p7_draw,
+    "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
+    "p8_cutoffs": p8_cutoffs,
+}
 
 _STATE = """select {cols} from (select *, row_number() over (partition by {keys} order by change_seq desc, arrived_at) as rn
   from {table}) where rn = 1 and not (op is null or lower(trim(op)) like 'd%')"""
@@ -80,6 +145,12 @@ def _p5_pairs(sets: str) -> str:
       having 5 * count(*) >= 3 * (any_value(x.n) + any_value(y.n) - count(*))"""
 
 
+_P7 = """select source, size, total, weight * total::double as wanted, max_repeat * size < weight * total::double as short from
+  (select m.source, m.weight, m.max_repeat, coalesce(d.size, 0)::bigint as size, t.total
+   from mix_target m cross join (select sum(len(regexp_extract_all(text, '\\S+')))::bigint as total from documents) t
+   left join (select lower(trim(source)) as k, sum(len(regexp_extract_all(text, '\\S+')))::bigint as size from documents group by 1) d
+     on d.k = lower(trim(m.source)))"""
+
 SQL = {
     "p1_found": f"select media_a, media_b from ({_P1})",
     "p1_scores": _P1,
@@ -92,4 +163,6 @@ SQL = {
       e as (select ida as id, idb as o from l union select idb, ida from l),
       k as (select id, count(*) as n from e group by id)
       select c.p as playlist_id, c.id as set_id, coalesce(k.n, 0) as n_links from c left join k on c.id = k.id""",
+    "p7_found": f"select source from ({_P7}) where short",
+    "p7_plan": _P7,
 }
