@@ -66,3 +66,59 @@ def cleanup(spark: SparkSession) -> None:
             remove(spark, path)
     except Exception:  # the context has stopped already; its shared folder is cleaned by its owner
         pass
+
+
+class Files:
+    """Small file operations on whatever file system Hadoop knows for a path."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        where = self.jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.conf)
+
+    def exists(self, path: str) -> bool:
+        where, fs = self._at(path)
+        return bool(fs.exists(where))
+
+    def names(self, path: str) -> list[str]:
+        """Names in a folder, sorted; none if it doesn't exist."""
+        where, fs = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+    def sizes(self, path: str) -> dict[str, int]:
+        """Data files of a folder and their lengths."""
+        where, fs = self._at(path)
+        found = {s.getPath().getName(): int(s.getLen()) for s in fs.listStatus(where)} if fs.exists(where) else {}
+        return {k: v for k, v in found.items() if not k.startswith((".", "_"))}
+
+    def read(self, path: str) -> str:
+        where, fs = self._at(path)
+        stream = fs.open(where)
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        """Write a whole file under another name and rename it, so that a reader sees all of it or nothing."""
+        where, fs = self._at(path)
+        draft = self.jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
+        stream = fs.create(draft, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        fs.delete(where, False)
+        if not fs.rename(draft, where):
+            raise OSError(f"could not rename to {path}")
+
+    def copy(self, source: str, target: str) -> None:
+        a, fs_a = self._at(source)
+        b, fs_b = self._at(target)
+        self.jvm.org.apache.hadoop.fs.FileUtil.copy(fs_a, a, fs_b, b, False, True, self.conf)
+
+    def delete(self, path: str) -> None:
+        where, fs = self._at(path)
+        fs.delete(where, True)
