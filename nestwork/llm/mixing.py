@@ -181,10 +181,9 @@ def mixed_pages(pages: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[Da
         done, rest = done.unionByName(level.filter(~open_)), level.filter(open_)
     drawn = done.withColumn("copies", (F.col("low") + F.round("p")).cast("long")).filter("copies > 0")
     drawn = drawn.select("doc_id", "source", "size", "copies")
-    used = drawn.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("drawn"))
+    used = materialize(drawn.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("drawn")), "mix-used")
+    whole = int(used.agg(F.sum("drawn")).first()[0] or 0)
     report = plan.join(F.broadcast(used), "source", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)).cast("long"))
-    whole = report.agg(F.sum("drawn").alias("whole"))
-    report = report.join(F.broadcast(whole), F.col("drawn") <= F.col("whole"))
     return drawn, report.select(
-        "source", "weight", "drawn", F.when(F.col("whole") > 0, F.col("drawn") / F.col("whole")).otherwise(0.0).alias("share"), "wanted", "short"
+        "source", "weight", "drawn", (F.col("drawn") / F.lit(float(max(1, whole)))).alias("share"), "wanted", "short"
     )

@@ -78,10 +78,6 @@ def p7_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("source", "size", "total", "wanted", "short")
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_plan(spark, sf_dir).filter("short").select("source")
-
-
 def p7_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The drawn pages, sized in tokens of a public tokenizer."""
     get = reader(spark, sf_dir)
@@ -93,6 +89,11 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_pages(materialize(_sized_pages(spark, sf_dir), "page-sizes"), reader(spark, sf_dir)("mix_target"))[1]
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources that the mix, drawn in words, could not fill."""
+    return p7_report(spark, sf_dir).filter("short").select("source")
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_share(reader(spark, sf_dir)("documents"))
 
