@@ -33,7 +33,7 @@ from ..storage import materialize
 from .pages import fold, grams, page_columns, read_pages
 
 SHINGLE, SEED, KEPT, MOST_SHINGLES = 12, 5, 0.5, 2_000_000
-SPREAD = 4  # a window's hits lie within so many times its length on the page
+SPREAD = 8  # a window's hits lie within so many times its length on the page
 NOISE, SHIFT, AT_EDGE, FAR = 14, 2, 6, 4000  # letters: bridged as misread, length change, slack at a line's end, longest interruption
 
 
@@ -57,6 +57,12 @@ class Item:
         return [(a, b) for a, b in found if b > a]
 
 
+    def bounds(self, run: int) -> tuple[int, int]:
+        """The fewest shingles that a page keeps of a window, and how far apart they are on it at most."""
+        sizes = [b - a for a, b in self.windows(run)]
+        return (kept(min(sizes)), SPREAD * max(sizes)) if sizes else (1 << 30, 0)
+
+
 def kept(n: int) -> int:
     return max(1, int(np.ceil(KEPT * n)))
 
@@ -195,14 +201,21 @@ def _verify(run: int):
                 item = items.get(item_id) or items.setdefault(item_id, Item(text))
                 if len(items) > 5000:
                     items.popitem(last=False)
+                least, reach = item.bounds(run)
                 place = np.flatnonzero(np.isin(grams(stream, SHINGLE), item.shingles))
-                found = 0
-                if len(place):
-                    # stretches of the page that hold hits, with room for what else belongs to them
-                    for part in np.split(place, np.flatnonzero(np.diff(place) > FAR) + 1):
-                        lo, hi = max(0, int(part[0]) - 200), int(part[-1]) + 200
-                        inside = [e - lo for e in edges if lo <= e <= hi]
-                        found = max(found, longest_run(item, stream[lo:hi], inside))
+                first = place[: max(0, len(place) - least + 1)]
+                dense = place[least - 1 :] - first <= reach if len(first) else np.zeros(0, bool)
+                found, done = 0, -1
+                # the stretches of the page that hold enough hits, with room for what else belongs to them
+                for lo, hi in zip(first[dense].tolist(), place[least - 1 :][dense].tolist()):
+                    if hi <= done:
+                        continue
+                    lo, hi = max(0, lo - reach), hi + reach
+                    while (more := dense & (first <= hi) & (place[least - 1 :] > hi)).any() and hi - lo < FAR:
+                        hi = int(place[least - 1 :][more].max()) + reach
+                    inside = [e - lo for e in edges[bisect_left(edges, lo) : bisect_left(edges, hi + 1)]]
+                    found = max(found, longest_run(item, stream[lo:hi], inside))
+                    done = hi - reach
                 length.append(found)
             out = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("item_id"), pa.array(length, pa.int64())], ["doc_id", "item_id", "n_words"]
@@ -233,9 +246,9 @@ def _block(spark, pages, items, shingles, run, text, boxes, doc_id) -> DataFrame
     known = np.sort(shingles.select("gram").distinct().toPandas()["gram"].to_numpy().astype(np.int64).view(np.uint64))
     if not len(known):
         return spark.createDataFrame([], f"doc_id {key_type}, item_id {items.schema['item_id'].dataType.simpleString()}, n_words long")
-    sizes = items.mapInArrow(_window_sizes(run), "least int, longest int").agg(F.min("least"), F.max("longest")).first()
+    least, reach = items.mapInArrow(_window_sizes(run), "least int, reach int").agg(F.min("least"), F.max("reach")).first()
     hits = pages.select(F.col(doc_id).alias("doc_id"), *page_columns(pages, text, boxes)).mapInArrow(
-        _hits(spark.sparkContext.broadcast(known), sizes[0], SPREAD * sizes[1]),
+        _hits(spark.sparkContext.broadcast(known), least, reach),
         f"doc_id {key_type}, ids array<int>, letters string, edges array<int>",
     )
     hits = materialize(hits, "page-hits")
@@ -260,14 +273,12 @@ def _block(spark, pages, items, shingles, run, text, boxes, doc_id) -> DataFrame
 
 
 def _window_sizes(run: int):
-    """The fewest kept shingles of any window, and the most shingles of one."""
+    """The bounds of every item that has a window."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [b - a for t in batch.column("text").to_pylist() for a, b in Item(t).windows(run)]
-            if sizes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kept(min(sizes))], pa.int32()), pa.array([max(sizes)], pa.int32())], ["least", "longest"]
-                )
+            found = [x for x in (Item(t).bounds(run) for t in batch.column("text").to_pylist()) if x[1]]
+            columns = [pa.array([x[i] for x in found], pa.int32()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["least", "reach"])
 
     return make
