@@ -215,7 +215,7 @@ def _verify(run: int):
                         hi = int(place[least - 1 :][more].max()) + reach
                     inside = [e - lo for e in edges[bisect_left(edges, lo) : bisect_left(edges, hi + 1)]]
                     found = max(found, longest_run(item, stream[lo:hi], inside))
-                    done = hi - reach
+                    done = hi
                 length.append(found)
             out = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("item_id"), pa.array(length, pa.int64())], ["doc_id", "item_id", "n_words"]
