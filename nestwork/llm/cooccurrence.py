@@ -42,13 +42,15 @@ def cooccurring_pairs(rows: DataFrame, basket: str, item: str, min_count: int, m
     keep = counts.filter((F.col("n_it") >= min_count) & (F.col("n_it").cast(BIG) * min_lift <= n_baskets))
     heavy = keep.filter(F.col("n_it") * 2000 >= n_rows)
     frequent = lookup(have, keep, "it", heavy).filter(F.col("n_it").isNotNull()).select("bk", "it")
+    frequent = materialize(frequent, "frequent")
 
     prints = fingerprints(frequent, "bk", "it").filter("n > 1")
     classes = materialize(
         prints.groupBy("n", "x1", "x2").agg(F.count(F.lit(1)).alias("w"), F.min("bk").alias("bk")).select("bk", "w", "n"),
         "basket-classes",
     )
-    collapsed = frequent.join(classes, "bk")
+    hot = classes.filter(F.col("n") * 2000 >= n_rows).select("bk")
+    collapsed = lookup(frequent, classes, "bk", hot).filter(F.col("w").isNotNull())
     found = _light_pairs(collapsed.filter(F.col("n") <= LIGHT))
     if classes.filter(F.col("n") > LIGHT).isEmpty():
         found = found.groupBy("a", "b").agg(F.sum("w").alias("n_ab"))

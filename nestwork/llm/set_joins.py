@@ -151,9 +151,11 @@ def similar_sets(rows: DataFrame, record: str, item: str, threshold: Fraction, m
     copies = lookup(prints.select("rec", "print"), copied, "print", heavy_keys(prints, "print", parts=500))
     membership = copies.filter(F.col("id").isNotNull()).select("rec", "id", "members")
 
-    mine = have.withColumnRenamed("rec", "id").join(classes.select("id", "n"), "id")
+    hot = classes.filter(F.col("n").cast("long") * 2000 >= have.count()).select("id")
+    mine = lookup(have.withColumnRenamed("rec", "id"), classes.select("id", "n"), "id", hot).filter(F.col("n").isNotNull())
     mine = materialize(mine, "distinct-sets")
-    small, big = mine.filter(F.col("n") <= HUGE), mine.filter(F.col("n") > HUGE)
+    # lists reach to the largest partner of a set of HUGE items; pairs of two larger sets are found without them
+    small, big = mine.filter(F.col("n") * num <= HUGE * den), mine.filter(F.col("n") > HUGE)
     total = mine.count()
     counts = materialize(small.groupBy("it").agg(F.count(F.lit(1)).alias("c")), "set-items")
     rank = F.when(F.col("c") == 1, 0).when(F.col("c") <= RARE, 1).otherwise(2).cast("byte")
@@ -162,7 +164,7 @@ def similar_sets(rows: DataFrame, record: str, item: str, threshold: Fraction, m
     lists = materialize(
         ranked.groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("it", "rank")).alias("items")), "set-lists"
     )
-    found = _verified(_neighbours(lists, num, den), lists, num, den)
+    found = _verified(_neighbours(lists, num, den), lists, num, den).filter(F.least("n_a", "n_b") <= HUGE)
     if not big.isEmpty():
         found = found.unionByName(_huge(big, num, den))
     return found, membership
