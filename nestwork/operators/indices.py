@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keysets
-from ..plans.builder import Tables, field_type, index_key, key_of
+from ..plans.builder import Pruned, Tables, field_type, index_key, key_of
 from ..plans.relations import Edge, Relation, edges
 
 INDEX = "index string, fk binary, pk binary"
@@ -30,10 +30,11 @@ def join_index(tables: Tables, roots: Iterable[Relation]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def parent_index(tables: Tables, root: Relation, roots: DataFrame | None = None) -> DataFrame:
+def parent_index(tables: Tables, root: Relation, roots: DataFrame | None = None, pruned: Pruned | None = None) -> DataFrame:
     """For every root document the parent keys it looked up, matched or not: ``edge, fk, pk`` (of the root).
 
-    ``roots`` (``pk``) restricts it to some root records. Only key columns travel down the tree.
+    ``roots`` (``pk``) restricts it to some root records; ``pruned`` then holds the records below them, if
+    :func:`plans.builder.prune` has found them. Only key columns travel down the tree.
     """
     found: list[DataFrame] = []
 
@@ -44,7 +45,7 @@ def parent_index(tables: Tables, root: Relation, roots: DataFrame | None = None)
             looked = mine.select(F.lit(edge.id).alias("edge"), index_key(mine, child.parent_key).alias("fk"), F.col("root_pk").alias("pk"))
             found.append(looked.filter(F.col("fk").isNotNull()))
             if child.children:
-                table = tables[child.entity]
+                table = tables[child.entity] if pruned is None else pruned[(*path, child.entity)]
                 down = list(dict.fromkeys([c.parent_key for c in child.children]))
                 parent_type, child_type = field_type(mine, child.parent_key), field_type(table, child.join_key)
                 key = key_of(mine, child.parent_key, child_type)
@@ -54,8 +55,8 @@ def parent_index(tables: Tables, root: Relation, roots: DataFrame | None = None)
                 )
                 below(child, (*path, child.entity), steps.join(rows, "_k").select("root_pk", "value"))
 
-    top = tables[root.entity]
-    if roots is not None:
+    top = tables[root.entity] if pruned is None else pruned[(root.entity,)]
+    if roots is not None and pruned is None:
         top = top.join(roots.select("pk").distinct(), "pk", "left_semi")
     below(root, (root.entity,), top.select(F.col("pk").alias("root_pk"), "value"))
     return reduce(DataFrame.unionByName, found).distinct()

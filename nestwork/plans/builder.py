@@ -13,7 +13,7 @@ In JSON null fields are left out, and leaves have ``"Children":{}``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,12 +47,19 @@ def index_key(table: DataFrame, name: str, value: Column | None = None) -> Colum
     return F.when(F.length(data) > 0, data)
 
 
-def prune(tables: Tables, root: Relation, roots: DataFrame) -> dict[tuple[str, ...], DataFrame]:
-    """Per place in the tree the records that documents of ``roots`` (``pk``) can hold, from the top down."""
-    out: dict[tuple[str, ...], DataFrame] = {}
+Pruned = dict[tuple[str, ...], DataFrame]
+
+
+def prune(tables: Tables, root: Relation, roots: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> Pruned:
+    """Per place in the tree the records that documents of ``roots`` (``pk``) can hold, from the top down.
+
+    ``cut`` may write each place's records to a table: the next level's keys then have a known size, and
+    where they are few the child's table is filtered by a broadcast, without a shuffle.
+    """
+    out: Pruned = {}
 
     def below(node: Relation, path: tuple[str, ...], mine: DataFrame) -> None:
-        out[path] = mine
+        out[path] = mine = cut(mine)
         for child in node.children:
             table = tables[child.entity]
             parent_type, child_type = field_type(mine, child.parent_key), field_type(table, child.join_key)
@@ -64,10 +71,11 @@ def prune(tables: Tables, root: Relation, roots: DataFrame) -> dict[tuple[str, .
     return out
 
 
-def build(tables: Tables, root: Relation, roots: DataFrame | None = None) -> DataFrame:
+def build(tables: Tables, root: Relation, roots: DataFrame | None = None, pruned: Pruned | None = None) -> DataFrame:
     """Documents ``pk, doc`` of all root records or, with ``roots`` (``pk``), of those; null doc where
-    a root has no record (its tombstone)."""
-    pruned = prune(tables, root, roots) if roots is not None else None
+    a root has no record (its tombstone). ``pruned`` is :func:`prune`'s result, if it was made before."""
+    if roots is not None and pruned is None:
+        pruned = prune(tables, root, roots)
 
     def node(rel: Relation, path: tuple[str, ...]) -> DataFrame:
         table = pruned[path] if pruned is not None else tables[rel.entity]

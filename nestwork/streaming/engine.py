@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..operators import indices
 from ..operators.filters import DELETE, SKIP, Filter, with_modes
-from ..plans.builder import build, to_json
+from ..plans.builder import build, prune, to_json
 from ..plans.relations import Relation, edges, entities, validate
 from ..storage import materialize
 from .metrics import Metrics
@@ -92,12 +92,17 @@ class Engine:
         return f"pk binary, seq bigint, value {self.inputs[entity].schema.simpleString()}"
 
     def versions(self, entity: str, staged: bool = True) -> DataFrame:
-        """The newest version of every key ever seen: ``pk, seq, value``, value null where deleted."""
-        rows = self.state.read(f"latest/{entity}", self._record_schema(entity), staged)
-        if len(self.state.runs(f"latest/{entity}")) > 1:
-            best = rows.groupBy("pk").agg(F.max_by(F.struct("seq", "value"), "run").alias("c"))
-            rows = best.select("pk", "c.seq", "c.value")
-        return rows.select("pk", "seq", "value")
+        """The newest version of every key ever seen: ``pk, seq, value``, value null where deleted.
+
+        The oldest run is filtered by the keys of the later ones, not grouped with them: while these
+        are small it isn't shuffled.
+        """
+        rows, later = self.state.split(f"latest/{entity}", self._record_schema(entity), staged)
+        rows = rows.select("pk", "seq", "value")
+        if later is not None:
+            newest = later.groupBy("pk").agg(F.max_by(F.struct("seq", "value"), "run").alias("c")).select("pk", "c.seq", "c.value")
+            rows = rows.join(later.select("pk"), "pk", "left_anti").unionByName(newest)
+        return rows
 
     def records(self, entity: str, staged: bool = True) -> DataFrame:
         """The current records of an entity: ``pk, value``."""
@@ -105,11 +110,10 @@ class Engine:
 
     def parent_rows(self, root: Relation, staged: bool = True) -> DataFrame:
         """The current parent index of a root: ``edge, fk, pk``. A root's rows of its newest run count."""
-        name = f"parent/{root.denormalized_name}"
-        rows = self.state.read(name, PARENT, staged)
-        if len(self.state.runs(name)) > 1:
-            newest = rows.groupBy("pk").agg(F.max("run").alias("run"))
-            rows = rows.join(newest, ["pk", "run"], "left_semi")
+        rows, later = self.state.split(f"parent/{root.denormalized_name}", PARENT, staged)
+        if later is not None:
+            newest = later.groupBy("pk").agg(F.max("run").alias("run"))
+            rows = rows.join(newest.select("pk"), "pk", "left_anti").unionByName(later.join(newest, ["pk", "run"], "left_semi"))
         return rows.filter(F.col("edge").isNotNull()).select("edge", "fk", "pk")
 
     def queue(self, root: Relation, staged: bool = True) -> DataFrame:
@@ -169,8 +173,9 @@ class Engine:
                 return None
             value = F.when(F.col("mode") != DELETE, F.col("value"))
             kept = moded.filter(F.col("mode") != SKIP).groupBy("pk").agg(F.max_by(F.struct("seq", value.alias("value")), "seq").alias("c"))
-            had = old.select("pk", F.col("seq").alias("_had"), F.col("value").alias("old"))
-            newer = kept.select("pk", "c.seq", "c.value").join(had, "pk", "left").filter(F.col("_had").isNull() | (F.col("seq") > F.col("_had")))
+            kept = materialize(kept.select("pk", "c.seq", "c.value"), "kept")
+            had = old.join(kept.select("pk"), "pk", "left_semi").select("pk", F.col("seq").alias("_had"), F.col("value").alias("old"))
+            newer = kept.join(had, "pk", "left").filter(F.col("_had").isNull() | (F.col("seq") > F.col("_had")))
             image = materialize(newer.select("pk", "seq", "old", F.col("value").alias("new")), "images")
         finally:
             moded.unpersist()
@@ -202,10 +207,11 @@ class Engine:
         drained = by_priority(now)
         if drained:
             pks = now.select("pk")
-            self.sink(name, to_json(build(tables, root, pks)), batch_id)
+            below = prune(tables, root, pks, lambda df: materialize(df.select("pk", "value"), "below"))
+            self.sink(name, to_json(build(tables, root, pks, below)), batch_id)
             none = F.lit(None)
             marks = pks.select(none.cast("string").alias("edge"), none.cast("binary").alias("fk"), "pk")
-            self.state.stage(f"parent/{name}", indices.parent_index(tables, root, pks).unionByName(marks))
+            self.state.stage(f"parent/{name}", indices.parent_index(tables, root, pks, below).unionByName(marks))
             self.metrics.created(name, drained)
         rest = queued.join(now.select("pk"), "pk", "left_anti")
         self.metrics.to_create(name, by_priority(rest))

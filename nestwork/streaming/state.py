@@ -128,11 +128,20 @@ class State:
 
     def read(self, table: str, schema: str, staged: bool = True) -> DataFrame:
         """All runs of a table with the column ``run``, larger in newer runs; empty if there is none."""
-        runs = self.runs(table) if staged else self.opened.tables.get(table, [])
+        return self.read_runs(self.runs(table) if staged else self.opened.tables.get(table, []), schema)
+
+    def read_runs(self, runs: list[dict], schema: str) -> DataFrame:
         if not runs:
             return self.spark.createDataFrame([], f"{schema}, run int")
-        paths = [f"{self.uri}/runs/{r['name']}" for r in runs]
-        return self.spark.read.schema(f"{schema}, run int").parquet(*paths)
+        return self.spark.read.schema(f"{schema}, run int").parquet(*(f"{self.uri}/runs/{r['name']}" for r in runs))
+
+    def split(self, table: str, schema: str, staged: bool = True) -> tuple[DataFrame, DataFrame | None]:
+        """The oldest run, and the later ones together (None if there are none).
+
+        After a compaction the oldest run is nearly the whole table and the later ones are small.
+        """
+        runs = self.runs(table) if staged else self.opened.tables.get(table, [])
+        return self.read_runs(runs[:1], schema), self.read_runs(runs[1:], schema) if runs[1:] else None
 
     def stage(self, table: str, rows: DataFrame, replace: bool = False) -> None:
         """Write ``rows`` as a run of the version to be committed; ``replace`` drops the runs before it."""
