@@ -48,6 +48,7 @@ def _encoding(path: str, pattern: str):
 
 def with_token_counts(pages: DataFrame, text: str, path: str, pattern: str, out: str = "size") -> DataFrame:
     """``pages`` with the number of tokens of ``text`` under the byte-level BPE ranks in ``path``; ``text`` is dropped."""
+    pages = pages.select(*(c for c in pages.columns if c != out or c == text))  # an older column of that name gives way
     schema = f"{pages.drop(text).schema.toDDL()}, `{out}` bigint" if len(pages.columns) > 1 else f"`{out}` bigint"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
