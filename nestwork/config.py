@@ -11,6 +11,7 @@ from typing import Any
 UNUSED = (
     "backup.on.shutdown",
     "create.records.time.s",
+    "create.records.trigger",
     "index.lru.cache.size",
     "index.write.batch.size",
     "metrics.report.time.s",
@@ -40,7 +41,7 @@ class Settings:
         uri = config.get("state.uri", config.get("rocks.db.uri"))
         if not uri:
             raise ValueError("state.uri is not set")
-        budget = config.get("create.records.trigger")
+        budget = config.get("low.records.per.batch")
         return Settings(
             state_uri=str(uri),
             backup_uri=config.get("state.backup.uri", config.get("rocks.db.backup.uri")),

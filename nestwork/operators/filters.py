@@ -6,9 +6,10 @@ counts for the others. SKIP leaves state and documents alone, DELETE removes the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,14 +19,21 @@ MODES = (UPDATE, SKIP, DELETE)
 
 #: ``(entity, new value, old value) -> mode``; a null mode means UPDATE.
 Rule = Callable[[str, Column, Column], Column]
+#: The same on plain dictionaries, called change by change.
+Fold = Callable[[str, dict, dict | None], str | None]
 
 
 @dataclass(frozen=True)
 class Filter:
-    """``rule`` refines the default; ``uses_old`` makes the previous kept version available to it."""
+    """``rule`` refines the default; ``uses_old`` makes the previous version available to it.
+
+    ``fold`` is for rules that no expression can say: Python code that sees each change of a key in
+    order with the last version that was kept (null at first and after a delete).
+    """
 
     rule: Rule | None = None
     uses_old: bool = False
+    fold: Fold | None = None
     config: Mapping[str, str] = field(default_factory=dict)
 
     def mode(self, entity: str, value: Column, old: Column) -> Column:
@@ -56,6 +64,8 @@ def with_modes(
     version, each change is held against its immediate predecessor: for rules that skip what is
     unchanged this equals the last kept version, as a skipped version equals it.
     """
+    if rules.fold:
+        return _folded(changes, entity, rules.fold, pk, seq, value, old)
     if not rules.uses_old:
         none = F.lit(None).cast(changes.schema[value].dataType)
         return changes.withColumn("mode", rules.mode(entity, F.col(value), none))
@@ -70,6 +80,37 @@ def with_modes(
     return with_old.withColumn("mode", rules.mode(entity, F.col(value), F.col("_old"))).drop("_old")
 
 
+def _folded(changes: DataFrame, entity: str, fold: Fold, pk: str, seq: str, value: str, old: DataFrame | None) -> DataFrame:
+    """Sequential modes: keys are shuffled together and sorted, and each task walks its rows once,
+    holding one version; a key with very many changes needs time but no memory."""
+    first = changes.withColumn("_first", F.lit(False))
+    if old is not None:
+        known = old.select(F.col(pk), F.col(value).cast(changes.schema[value].dataType).alias(value), F.lit(True).alias("_first"))
+        first = first.unionByName(known.join(changes.select(pk).distinct(), pk, "left_semi"), allowMissingColumns=True)
+    ordered = first.repartition(pk).sortWithinPartitions(F.col(pk), F.col("_first").desc(), F.col(seq))
+    columns = changes.columns
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, None
+        for batch in batches:
+            modes: list[str | None] = []
+            rows = zip(*(batch.column(c).to_pylist() for c in (pk, value, "_first")))
+            for k, new, known in rows:
+                if k != key:
+                    key, kept = k, None
+                if known:
+                    kept = new
+                    modes.append(None)
+                    continue
+                mode = DELETE if new is None else fold(entity, new, kept) or UPDATE
+                kept = new if mode == UPDATE else None if mode == DELETE else kept
+                modes.append(mode)
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(modes, pa.string())], [*columns, "mode"])
+            yield out.filter(pa.array([m is not None for m in modes]))
+
+    return ordered.mapInArrow(walk, T.StructType([*changes.schema.fields, T.StructField("mode", T.StringType())]))
+
+
 def mode_counts(moded: DataFrame) -> DataFrame:
     """Changes per mode: ``mode, n``."""
     return moded.groupBy("mode").agg(F.count(F.lit(1)).alias("n"))

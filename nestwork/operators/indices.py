@@ -106,6 +106,12 @@ def dump(index: DataFrame, by: str = "index") -> DataFrame:
     return hexed.select(F.to_json(F.struct(by, "fk", "pks")).alias("value"))
 
 
+def entry_sizes(index: DataFrame, by: str = "index") -> DataFrame:
+    """Per index how many foreign keys it has, how many keys they hold together, and the largest entry."""
+    sizes = index.groupBy(by, "fk").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy(by).agg(F.count(F.lit(1)).alias("n_entries"), F.sum("n").alias("n_keys"), F.max("n").alias("largest"))
+
+
 def affected_roots(images: dict[str, DataFrame], tables: Tables, root: Relation, index: DataFrame) -> DataFrame:
     """Roots whose documents the changes can touch: ``pk, entity`` (the entity that changed).
 

@@ -101,9 +101,9 @@ class LsmTable:
             remove(self.spark, old[1])
 
 
-def buckets_for(rows: int, least: int = 8) -> int:
-    """So many buckets that one holds about ``ROWS_PER_BUCKET`` rows."""
-    return max(least, -(-rows // ROWS_PER_BUCKET))
+def buckets_for(spark: SparkSession, rows: int, least: int = 8) -> int:
+    """So many buckets that one holds about ``ROWS_PER_BUCKET`` rows, as far as Spark allows that many."""
+    return min(max(least, -(-rows // ROWS_PER_BUCKET)), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
 
 
 def from_log(log: DataFrame, keys: Sequence[str], payload: Sequence[str] = (), runs: int = 4) -> LsmTable:
@@ -111,7 +111,7 @@ def from_log(log: DataFrame, keys: Sequence[str], payload: Sequence[str] = (), r
     lo, hi, n = log.agg(
         F.min(F.unix_micros("arrived_at")), F.max(F.unix_micros("arrived_at")), F.count(F.lit(1))
     ).first()
-    table = LsmTable(log.sparkSession, keys, payload, buckets=buckets_for(n), max_runs=max(16, runs))
+    table = LsmTable(log.sparkSession, keys, payload, buckets=buckets_for(log.sparkSession, n), max_runs=max(16, runs))
     if lo is None or hi == lo:
         runs = 1
     width = 1 if lo is None else (hi - lo) // runs + 1

@@ -26,7 +26,7 @@ from ..plans.builder import build, prune, to_json
 from ..plans.relations import Relation, edges, entities, validate
 from ..storage import materialize
 from .metrics import Metrics
-from .queueing import NONE, QUEUE, RANK, Strategy, by_priority, drain, enqueue, medium, ranked
+from .queueing import LOW, NONE, QUEUE, RANK, Strategy, by_priority, drain, enqueue, medium, ranked
 from .state import State
 
 PARENT = "edge string, fk binary, pk binary"
@@ -162,7 +162,7 @@ class Engine:
         known = self.inputs[entity]
         changes = changes.filter((F.length("pk") > 0) & F.col("seq").isNotNull()).select("pk", "seq", conform(changes, known.schema).alias("value"))
         old = self.versions(entity, staged=False)
-        if known.rules.uses_old:
+        if known.rules.uses_old or known.rules.fold:
             changes = materialize(changes, "changes")
             old = materialize(old.join(changes.select("pk").distinct(), "pk", "left_semi"), "old")
         moded = with_modes(changes, entity, known.rules, old=old).persist(StorageLevel.MEMORY_AND_DISK)
@@ -187,10 +187,7 @@ class Engine:
         priority = self.strategy(name, root.entity)
         pks = tables[root.entity].select("pk")
         n = pks.count()
-        if priority == NONE:
-            self.metrics.dropped(name, n)
-            return
-        if self.low_budget is not None and priority == "LOW":
+        if not isinstance(priority, str) or priority == NONE or self.low_budget is not None and priority == LOW:
             self._create(root, tables, pks.withColumn("entity", F.lit(root.entity)), [root.entity], batch_id)
             return
         self.sink(name, to_json(build(tables, root)), batch_id)
@@ -254,6 +251,14 @@ class Engine:
             out = both if out is None else out.unionByName(both)
         return out
 
+    def index_sizes(self) -> DataFrame:
+        """Sizes of the entries of all parent indices: ``root, edge, n_entries, n_keys, largest``."""
+        out = None
+        for root in self.roots:
+            sizes = indices.entry_sizes(self.parent_rows(root), "edge").select(F.lit(root.denormalized_name).alias("root"), "*")
+            out = sizes if out is None else out.unionByName(sizes)
+        return out
+
     def documents(self, root: Relation) -> DataFrame:
         """All documents from the current records: ``key, value``."""
         return to_json(build({e: self.records(e) for e in entities([root])}, root))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HIGH, MEDIUM, LOW, NONE = "HIGH", "MEDIUM", "LOW", "NONE"
@@ -12,8 +12,8 @@ RANK = {HIGH: 0, MEDIUM: 1, LOW: 2, NONE: 3}
 NAMES = {v: k for k, v in RANK.items()}
 QUEUE = "pk binary, rank int, since bigint"
 
-#: ``(denormalized name, changed entity) -> priority``
-Strategy = Callable[[str, str], str]
+#: ``(denormalized name, changed entity) -> priority``, or a column of it over ``pk``, the root's key bytes
+Strategy = Callable[[str, str], str | Column]
 
 
 def medium(name: str, entity: str) -> str:
@@ -26,9 +26,18 @@ def ranked(affected: DataFrame, name: str, strategy: Strategy, entities: list[st
     priority NONE touch has the rank of NONE and is dropped by :func:`enqueue`."""
     if not entities:
         return affected.select("pk", F.lit(RANK[NONE]).alias("rank")).limit(0)
-    ranks = {e: RANK[strategy(name, e)] for e in entities}
-    lookup = F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair))
-    return affected.groupBy("pk").agg(F.min(lookup[F.col("entity")]).alias("rank"))
+    rank = F.lit(None).cast("int")
+    for entity in entities:
+        rank = F.when(F.col("entity") == entity, rank_of(strategy(name, entity))).otherwise(rank)
+    return affected.groupBy("pk").agg(F.min(rank).alias("rank"))
+
+
+def rank_of(priority: str | Column) -> Column:
+    """A priority, fixed or per root, as its rank; an unknown one raises."""
+    if isinstance(priority, str):
+        return F.lit(RANK[priority])
+    ranks = F.create_map(*(F.lit(x) for pair in RANK.items() for x in pair))
+    return F.coalesce(ranks[priority], F.raise_error(F.lit("unknown priority")).cast("int"))
 
 
 def enqueue(queue: DataFrame, new: DataFrame, batch_id: int) -> DataFrame:

@@ -56,6 +56,16 @@ def start(
     return writer.start()
 
 
+def reset(engine: Engine, checkpoint: str) -> None:
+    """Forget how far the inputs were read; the next query reads them from the start.
+
+    The engine's state stays: what it holds already has no effect when it comes again. The query must
+    have stopped. Its batches are numbered from 0 again, and the state takes them again.
+    """
+    engine.state.files.delete(checkpoint)
+    engine.state.commit(-1)
+
+
 def lag(query: StreamingQuery) -> int:
     """Rows that the last progress report says are not yet read, as far as the sources tell."""
     progress = query.lastProgress

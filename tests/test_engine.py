@@ -78,14 +78,16 @@ def test_priorities(spark, tmp_path):
     """NONE leaves documents stale until something else touches them; LOW waits for its budget."""
     sink = MemorySink()
     order = {"owner": "NONE", "entry": "LOW"}
-    strategy = lambda name, entity: order.get(entity, "HIGH")
+    strategy = lambda name, entity: order.get(entity) or F.when(F.col("pk") == b"\7", "NONE").otherwise("HIGH")
     engine = Engine(spark, [LISTS], inputs(), State(spark, f"file://{tmp_path}/s"), sink, strategy, low_budget=1)
     run = lambda i, **b: engine.process_batch({e: changes(spark, e, x) for e, x in b.items()}, i)
     title = lambda key: parsed(sink.latest("DenormalizedList")[key])
-    run(0, owner=[(1, one("owner", owner_id=5, name="old"), False)], list=[(2, one("list", id=i, owner_id=5), False) for i in (1, 2)])
+    run(0, owner=[(1, one("owner", owner_id=5, name="old"), False)], list=[(2, one("list", id=i, owner_id=5), False) for i in (1, 2, 7)])
+    assert b"\7" not in sink.latest("DenormalizedList")  # dropped by its key
+    assert [r.n_entries for r in engine.index_sizes().filter("edge = 'list/owner'").collect()] == [1]
     run(1, owner=[(3, one("owner", owner_id=5, name="new"), False)])
     assert title(b"\1")["Children"]["owner"][0]["Record"]["name"] == "old"
-    assert engine.metrics.report()["denormalized.records.dropped"] == 2
+    assert engine.metrics.report()["denormalized.records.dropped"] == 3
     run(2, list=[(4, one("list", id=1, owner_id=5, title="t"), False)])
     assert title(b"\1")["Children"]["owner"][0]["Record"]["name"] == "new"
     assert title(b"\2")["Children"]["owner"][0]["Record"]["name"] == "old"

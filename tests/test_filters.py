@@ -48,3 +48,16 @@ def test_as_changes_and_images(spark, rows):
     assert rows(c, F.hex("pk"), "seq", "key.id", "value.a") == [("01", 5, 1, "x"), ("02", 6, 2, None), ("03", 7, 3, "z")]
     state = c.filter("seq = 5").select("pk", "value")
     assert rows(before_images(c, state), F.hex("pk"), "old.a", "new.a") == [("01", "x", "x"), ("02", None, None), ("03", None, "z")]
+
+
+def test_fold_sees_the_last_kept_version(spark, rows):
+    """A counter that may only rise: smaller values are skipped, 99 deletes."""
+
+    def rising(entity, new, old):
+        return DELETE if new["b"] == 99 else SKIP if old and new["b"] <= old["b"] else UPDATE
+
+    old = made(spark, [(1, 0, (1, "x", 3)), (9, 0, (9, "x", 3))]).select("pk", "value")
+    df = made(spark, [(1, 1, (1, "x", 2)), (1, 2, (1, "x", 5)), (1, 3, (1, "x", 4)), (1, 4, (1, "x", 99)), (1, 5, (1, "x", 1)), (2, 1, (2, "x", 0)), (2, 2, None)])
+    got = rows(with_modes(df, "e", Filter(fold=rising), old=old), F.decode("pk", "UTF-8"), "seq", "mode")
+    assert got == [("1", 1, SKIP), ("1", 2, UPDATE), ("1", 3, SKIP), ("1", 4, DELETE), ("1", 5, UPDATE), ("2", 1, UPDATE), ("2", 2, DELETE)]
+    assert rows(latest(df, "e", Filter(fold=rising)), "value.id", "value.b") == [(1, 1)]

@@ -27,7 +27,7 @@ def hexed(spark, schema, row, names=None):
         ("a string", ("",), ""),
         ("a long", (None,), None),
         ("a boolean", (None,), None),
-        ("string string, int int", ("TROGDOR BURNINATOR", 45), "012D1254524F47444F52204255524E494E41544F52"),
+        ("name string, count int", ("GREY LIGHTHOUSE", 45), "012D0F47524559204C49474854484F555345"),
         ("a string, b int, c boolean", ("A", 1234, False), "01410204D20100"),
         ("b int, a int", (None, 1), "010100"),
     ],

@@ -11,7 +11,7 @@ from nestwork.operators.latest import latest
 from nestwork.sources import logs, sinks
 from nestwork.streaming.engine import Engine, Entity
 from nestwork.streaming.state import State
-from nestwork.streaming.streams import lag, start
+from nestwork.streaming.streams import lag, reset, start
 
 N = T.StructType().add("id", "long").add("name", "string").add("more", T.ArrayType(T.IntegerType()))
 
@@ -74,7 +74,7 @@ rocks.db.uri: file:///s
 rocks.db.backup.uri: file:///b
 rocks.db.restore.mode: Always
 index.lru.cache.size: 1
-create.records.trigger: 9
+low.records.per.batch: 9
 topics:
   default: {topic.class: a.b.KafkaTopic, client.id: x}
   clip: {client.id: y, topic.name: clip}
@@ -128,6 +128,10 @@ def test_stream_and_restart(spark, tmp_path):
     assert len(second.rows["DenormalizedList"]) == 1  # only what changed
     assert json.loads(second.latest("DenormalizedList")[b"\1"])["Children"]["owner"][0]["Record"]["name"] == "b"
     assert engine.verify().isEmpty()
+    reset(engine, str(tmp_path / "checkpoint"))
+    third = sinks.MemorySink()
+    assert run(third).verify().isEmpty()
+    assert not third.rows.get("DenormalizedList")  # read again, but nothing is new
 
 
 def test_command_line(spark, tmp_path, capsys):
