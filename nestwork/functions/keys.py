@@ -49,10 +49,11 @@ def encode_composite(fields: Sequence[tuple[str, Column, T.DataType]]) -> Column
     parts = []
     for _, col, dtype in sorted(fields, key=lambda f: f[0]):
         data = F.coalesce(encode_key(col, dtype), F.lit(bytearray()))
-        short = F.when(F.length(data) <= 255, F.length(data)).otherwise(
-            F.raise_error(F.lit("a field of a composite key is longer than 255 bytes")).cast("int")
-        )
-        parts += [F.unhex(F.lpad(F.hex(short), 2, "0")), data]
+        size = F.length(data)
+        if not isinstance(dtype, (*INTEGRAL, T.BooleanType)):
+            long = F.raise_error(F.lit("a field of a composite key is longer than 255 bytes")).cast("int")
+            size = F.when(size <= 255, size).otherwise(long)
+        parts += [F.unhex(F.hex(size)), data]  # up to 255 this is one byte
     return F.concat(*parts)
 
 

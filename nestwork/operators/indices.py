@@ -37,19 +37,22 @@ def parent_index(tables: Tables, root: Relation, roots: DataFrame | None = None,
     :func:`plans.builder.prune` has found them. Only key columns travel down the tree.
     """
     found: list[DataFrame] = []
+    deep: list[DataFrame] = []
 
     def below(node: Relation, path: tuple[str, ...], mine: DataFrame) -> None:
         # mine: root_pk, value
         for child in node.children:
             edge = Edge(root.denormalized_name or root.entity, path, node, child)
             looked = mine.select(F.lit(edge.id).alias("edge"), index_key(mine, child.parent_key).alias("fk"), F.col("root_pk").alias("pk"))
-            found.append(looked.filter(F.col("fk").isNotNull()))
+            (deep if len(path) > 1 else found).append(looked.filter(F.col("fk").isNotNull()))
             if child.children:
                 table = tables[child.entity] if pruned is None else pruned[(*path, child.entity)]
                 down = list(dict.fromkeys([c.parent_key for c in child.children]))
                 parent_type, child_type = field_type(mine, child.parent_key), field_type(table, child.join_key)
                 key = key_of(mine, child.parent_key, child_type)
-                steps = mine.select("root_pk", key.alias("_k")).filter("_k is not null").distinct()
+                steps = mine.select("root_pk", key.alias("_k")).filter("_k is not null")
+                if len(path) > 1:  # a root has one record, so its own steps are distinct
+                    steps = steps.distinct()
                 rows = table.select(
                     key_of(table, child.join_key, parent_type).alias("_k"), F.struct(*(F.col("value")[c].alias(c) for c in down)).alias("value")
                 )
@@ -59,7 +62,8 @@ def parent_index(tables: Tables, root: Relation, roots: DataFrame | None = None,
     if roots is not None and pruned is None:
         top = top.join(roots.select("pk").distinct(), "pk", "left_semi")
     below(root, (root.entity,), top.select(F.col("pk").alias("root_pk"), "value"))
-    return reduce(DataFrame.unionByName, found).distinct()
+    own = reduce(DataFrame.unionByName, found)
+    return own.unionByName(reduce(DataFrame.unionByName, deep).distinct()) if deep else own
 
 
 def named_parent_index(rows: DataFrame, root: Relation) -> DataFrame:

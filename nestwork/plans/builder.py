@@ -89,7 +89,7 @@ def build(tables: Tables, root: Relation, roots: DataFrame | None = None, pruned
                 docs.select(key_of(docs, child.join_key, parent_type).alias(key), F.struct("pk", "doc").alias("d"))
                 .filter(F.col(key).isNotNull())
                 .groupBy(key)
-                .agg(F.transform(F.array_sort(F.collect_list("d"), _by_pk), lambda d: d["doc"]).alias(name))
+                .agg(F.transform(_sorted(F.collect_list("d"), docs.schema["doc"].dataType), lambda d: d["doc"]).alias(name))
             )
             table = table.withColumn(key, key_of(table, child.parent_key, child_type)).join(lists, key, "left")
             empty = F.array().cast(lists.schema[name].dataType)
@@ -103,8 +103,20 @@ def build(tables: Tables, root: Relation, roots: DataFrame | None = None, pruned
     return docs
 
 
-def _by_pk(a: Column, b: Column) -> Column:
-    return F.when(a["pk"] < b["pk"], -1).when(a["pk"] > b["pk"], 1).otherwise(0)
+def _sorted(children: Column, doc: T.DataType) -> Column:
+    """Structs of ``pk`` and ``doc`` by ``pk``. Where documents have an order Spark's own one does, which is compiled; a comparing
+    function is interpreted, but is needed where a document holds maps."""
+    if _orderable(doc):
+        return F.array_sort(children)
+    return F.array_sort(children, lambda a, b: F.when(a["pk"] < b["pk"], -1).when(a["pk"] > b["pk"], 1).otherwise(0))
+
+
+def _orderable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return all(_orderable(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _orderable(dtype.elementType)
+    return not isinstance(dtype, (T.MapType, T.VariantType))
 
 
 def to_json(docs: DataFrame) -> DataFrame:

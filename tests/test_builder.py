@@ -120,3 +120,14 @@ def test_affected_roots_by_old_and_new_key(spark):
     image = spark.createDataFrame([(bytearray(pk), row(old), row(new))], T.StructType().add("pk", "binary").add("old", t).add("new", t))
     found = {bytes(r.pk) for r in indices.affected_roots({"entry": image}, tables, CLIPS, index).collect()}
     assert found == {key_bytes(x) for x in (old["clip_id"], other)} & set(records["clip"])
+
+
+def test_maps_in_records(spark):
+    """Documents without an order of their own are sorted by key all the same."""
+    root = Relation("a", "D", None, None, (Relation("b", None, "a_id", "id"),))
+    a = spark.createDataFrame([(1,)], "id long")
+    b = spark.createDataFrame([(2, 1, {"x": "y"}), (256, 1, None), (3, 1, {})], "id long, a_id long, props map<string, string>")
+    tables = {n: df.select(encode_columns(df, ["id"]).alias("pk"), F.struct(*df.columns).alias("value")) for n, df in (("a", a), ("b", b))}
+    doc = json.loads(to_json(build(tables, root)).first().value)
+    assert [x["Record"]["id"] for x in doc["Children"]["b"]] == [256, 2, 3]
+    assert doc["Children"]["b"][1]["Record"]["props"] == {"x": "y"}
