@@ -88,6 +88,7 @@ def build(tables: Tables, root: Relation, roots: DataFrame | None = None, pruned
             lists = (
                 docs.select(key_of(docs, child.join_key, parent_type).alias(key), F.struct("pk", "doc").alias("d"))
                 .filter(F.col(key).isNotNull())
+                .repartition(key)  # lists don't shrink by partial aggregation, which would sort every row before the shuffle
                 .groupBy(key)
                 .agg(F.transform(_sorted(F.collect_list("d"), docs.schema["doc"].dataType), lambda d: d["doc"]).alias(name))
             )
