@@ -43,12 +43,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_playlist_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole current records of ``playlist``, after several runs and a compaction between them."""
+    """The whole current records of ``playlist``, delivered by time of arrival, with compactions between the batches."""
     log = reader(spark, sf_dir)("playlist")
-    table = from_log(log.filter(F.col("part_no") % 2 == 0), ["id"], ["active", "user_id", "type", "title"], runs=3)
-    table.compact()
-    table.append(log.filter(F.coalesce(F.col("part_no") % 2, F.lit(1)) != 0))
-    return table.read()
+    return from_log(log, ["id"], ["active", "user_id", "type", "title"], runs=8, max_runs=3).read()
 
 
 def _p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 The table is one bucketed Spark table, partitioned by run. ``append`` reduces a batch of changes to
 the newest per key and writes it as a new run, bucketed by key and sorted by key and sequence; a
 delete is kept as a tombstone. ``read`` merges the runs bucket by bucket: the same buckets of all
-runs meet in one task, so the merge needs no shuffle. ``compact`` merges all runs into one and drops
-tombstones, which nothing older can lie under any more.
+runs meet in one task, so the merge needs no shuffle. ``compact`` merges all runs into one. It keeps
+tombstones, as an older change of a deleted key may still arrive; only ``read`` leaves them out.
 
 Changes may come repeatedly and in any order, within a batch or between batches; the result is the
 same for every division into batches. See :mod:`changelog` for nulls and ties. The payload's columns
@@ -90,8 +90,8 @@ class LsmTable:
         return self.merged(tombstones=False).drop("is_deleted")
 
     def compact(self) -> None:
-        """Merge all runs into one without tombstones; a reader of the old runs must have finished."""
-        merged, old = self.merged(tombstones=False).withColumn("run", F.lit(self.next_run)), self._table
+        """Merge all runs into one, tombstones included; a reader of the old runs must have finished."""
+        merged, old = self.merged().withColumn("run", F.lit(self.next_run)), self._table
         self._table = None
         self._write(merged)
         self.next_run += 1
@@ -106,15 +106,22 @@ def buckets_for(spark: SparkSession, rows: int, least: int = 8) -> int:
     return min(max(least, -(-rows // ROWS_PER_BUCKET)), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
 
 
-def from_log(log: DataFrame, keys: Sequence[str], payload: Sequence[str] = (), runs: int = 4) -> LsmTable:
-    """The table that ``log``, delivered in ``runs`` batches by time of arrival, leaves behind."""
+def from_log(
+    log: DataFrame, keys: Sequence[str], payload: Sequence[str] = (), runs: int = 6, max_runs: int = 3
+) -> LsmTable:
+    """The table that ``log``, delivered in ``runs`` batches by time of arrival, leaves behind.
+
+    Every batch is an append of its own, so with more batches than ``max_runs`` the table is compacted
+    between them and late changes meet what compaction left.
+    """
     lo, hi, n = log.agg(
         F.min(F.unix_micros("arrived_at")), F.max(F.unix_micros("arrived_at")), F.count(F.lit(1))
     ).first()
-    table = LsmTable(log.sparkSession, keys, payload, buckets=buckets_for(log.sparkSession, n), max_runs=max(16, runs))
+    table = LsmTable(log.sparkSession, keys, payload, buckets=buckets_for(log.sparkSession, n), max_runs=max_runs)
     if lo is None or hi == lo:
         runs = 1
     width = 1 if lo is None else (hi - lo) // runs + 1
     at = F.coalesce(F.floor((F.unix_micros("arrived_at") - F.lit(lo)) / width), F.lit(0)) if lo is not None else F.lit(0)
-    table.append(log, at.cast("int"), runs)
+    for i in range(runs):
+        table.append(log.filter(at == i))
     return table

@@ -105,6 +105,30 @@ def test_merge_table_appends_and_compacts(spark, rows):
     assert rows(table.read(), "id", "change_seq", "owner") == want
 
 
+def test_late_changes_after_compaction(spark, rows):
+    """A deleted key stays deleted when older changes or copies of it arrive after a compaction."""
+    t = START
+    log = [(1, 7, "c", 5, 0, 0, t, t), (2, 7, "c", 6, 0, 1, t, t), (1, 7, "delete", 10, 0, 2, t, t), (3, 7, None, 4, 0, 3, t, t)]
+    late = [(1, 8, "u", 8, 0, 4, t, t), (1, 7, "c", 5, 0, 5, t, t), (3, 9, "c", 2, 0, 6, t, t), (3, 9, "c", 9, 0, 7, t, t)]
+    table = LsmTable(spark, ["id"], ["owner"], buckets=2, max_runs=2)
+    for part in (log[:2], log[2:3], log[3:]):
+        table.append(spark.createDataFrame(part, SCHEMA))
+    assert table.runs == 1  # compacted
+    assert rows(table.read(), "id", "change_seq", "owner") == [(2, 6, 7)]
+    table.append(spark.createDataFrame(late, SCHEMA))
+    assert rows(table.read(), "id", "change_seq", "owner") == [(2, 6, 7), (3, 9, 9)]
+    table.compact()
+    assert rows(table.read(), "id", "change_seq", "owner") == [(2, 6, 7), (3, 9, 9)]
+
+
+def test_batches_by_arrival_are_compacted(spark, rows):
+    log = log_rows(9, 400)
+    table = from_log(spark.createDataFrame(log, SCHEMA), ["id"], ["owner"], runs=8, max_runs=3)
+    assert table.next_run > 8 and table.runs <= 3
+    want = sorted(((k[0], r[-5], r[1]) for k, r in decide(log, 1).items() if not dead(r[2])), key=repr)
+    assert rows(table.read(), "id", "change_seq", "owner") == want
+
+
 def test_merge_table_edges(spark, rows):
     empty = spark.createDataFrame([], SCHEMA)
     assert rows(from_log(empty, ["id"]).read()) == []
