@@ -4,10 +4,12 @@ Every tree orders the items of all sets by its own hash; a set's signature in th
 in that order. Sets whose signatures begin alike are neighbours. How deep the beginning reaches is
 decided by its items alone: it goes on past items that more than ``RARE`` sets hold, up to
 ``DEEPEST``, so that a neighbourhood that ends in a rare item has at most ``RARE`` members. A set
-joins ``TREES`` trees, then further ones until the probability that a partner at the threshold was
-missed in all of them, computed from the depths reached, is below ``MISS``. Sets for which
-``MOST_TREES`` don't suffice (nearly all their items are frequent) are besides compared on exact
-prefix tokens: two such sets that reach the threshold share one for certain. Neighbours pass two
+joins ``TREES`` trees, or as many more as bring the probability that its least likely partner at the
+threshold (one that lacks its unique and rare items first) is missed in all of them below ``MISS``.
+That number follows from the set's items, not from the trees' orders, so it holds for every pair.
+Sets for which ``MOST_TREES`` don't suffice (nearly all items they can share are frequent) are
+besides compared on exact prefix tokens, least frequent items first: two such sets that reach the
+threshold share one for certain. Neighbours pass two
 bounds that lose nothing (sizes; 128-bit maps of the items) and are verified on the items.
 
 Identical sets are one set with several members. Sets of more than ``HUGE`` items are never made
@@ -22,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache, reduce
-from math import ceil, log
+from math import inf, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -47,23 +49,33 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=100_000)
-def missed(n: int, depth: int, num: int, den: int) -> float:
-    """log of the chance that a tree parts a set of ``n`` items, at ``depth``, from its least likely partner."""
-    worst = 1.0
-    step = max(1, n // 50)
-    for m in {*range(max(1, ceil(n * num / den)), n * den // num + 1, step), n}:
-        both = ceil(Fraction(num * (n + m), num + den))
-        if both > min(n, m):
-            continue
-        union, p = n + m - both, 1.0
-        for k in range(min(depth, n)):
-            p *= max(0, both - k) / max(1, union - k)
-        worst = min(worst, p)
-    return log(max(1e-12, 1 - worst))
-
-
-def forest(num: int, den: int):
-    """Arrow batches of ``id, n, items<item, rank 0 unique 1 rare 2 frequent>`` to tree entries."""
+def trees_needed(n: int, unique: int, rare: int, num: int, den: int, least: int) -> float:
+    """Trees after which a set of ``n`` items has missed no partner of ``least`` items or more but with ``MISS``.
+
+    A tree joins two sets if, in its order of their union, only common items precede and include the
+    first rare one, or the first ``DEEPEST`` are common. A partner that lacks ``x`` items lacks all unique
+    ones; it is the likelier missed the more rare ones it lacks and the more other items it has.
+    No partner: 0. One that no tree can join: infinite.
+    """
+    x = np.arange(unique, n * (den - num) // den + 1)
+    both = n - x
+    union = both * den // num
+    x, both, union = (v[both + union - n >= least] for v in (x, both, union))
+    if not len(x):
+        return 0
+    rares = np.maximum(0, rare - (x - unique))
+    frequent = both - rares
+    joins, before = np.zeros(len(x)), np.ones(len(x))
+    for k in range(DEEPEST):
+        left = np.maximum(1, union - k)
+        joins += before * rares / left
+        before = before * np.maximum(0, frequent - k) / left
+    worst = float((joins + before).min())
+    return 1 if worst >= 1 else log(MISS) / log1p(-worst) if worst > 0 else inf
+
+
+def forest(num: int, den: int, least: int):
+    """Arrow batches of ``id, n, items<item, rank 0 unique 1 rare, else frequent by count>`` to tree entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,8 +95,8 @@ def forest(num: int, den: int):
         one = np.uint64(1) << (base & np.uint64(63))
         bits = [np.bitwise_or.reduceat(np.where(which == np.uint64(w), one, np.uint64(0)), starts) for w in (0, 1)]
         owner = np.repeat(np.arange(len(ids)), lens)
-        chance = np.zeros(len(ids))
-        on = np.ones(len(ids), bool)
+        unique, rare = (np.add.reduceat((rank == r).astype(np.int64), starts) for r in (0, 1))
+        trees = np.array([trees_needed(int(n), int(u), int(r), num, den, least) for n, u, r in zip(lens, unique, rare)])
 
         def out(key: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -99,10 +111,9 @@ def forest(num: int, den: int):
             )
 
         for tree in range(MOST_TREES):
-            if tree >= TREES and tree % 8 == 0:
-                on = chance > log(MISS)
-                if not on.any():
-                    break
+            on = (trees > tree) | ((trees > 0) & (tree < TREES))
+            if not on.any():
+                break
             take = np.flatnonzero(on[owner])
             hashed = mix(item[take], tree + 1)
             order = take[np.lexsort((hashed, owner[take]))]
@@ -117,10 +128,9 @@ def forest(num: int, den: int):
             with np.errstate(over="ignore"):
                 key = np.add.reduceat(np.where(inside, mix(item[order], tree + 1), np.uint64(0)), first)
             alone = np.minimum.reduceat(np.where(inside, ranked, 9), first) == 0
-            chance[who] += [missed(int(n), int(d), num, den) for n, d in zip(size, depth)]
             send = ~alone
             yield out(mix(key[send], 1000 + tree), who[send])
-        rest = chance > log(MISS)
+        rest = trees > MOST_TREES
         if rest.any():
             take = np.flatnonzero(rest[owner])
             order = take[np.lexsort((base[take], rank[take], owner[take]))]
@@ -158,21 +168,21 @@ def similar_sets(rows: DataFrame, record: str, item: str, threshold: Fraction, m
     small, big = mine.filter(F.col("n") * num <= HUGE * den), mine.filter(F.col("n") > HUGE)
     total = mine.count()
     counts = materialize(small.groupBy("it").agg(F.count(F.lit(1)).alias("c")), "set-items")
-    rank = F.when(F.col("c") == 1, 0).when(F.col("c") <= RARE, 1).otherwise(2).cast("byte")
+    rank = F.when(F.col("c") == 1, 0).when(F.col("c") <= RARE, 1).otherwise(F.col("c") + 1)
     ranks = counts.select("it", rank.alias("rank"))
     ranked = lookup(small, ranks, "it", counts.filter(F.col("c") * 2000 >= total))
     lists = materialize(
         ranked.groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("it", "rank")).alias("items")), "set-lists"
     )
-    found = _verified(_neighbours(lists, num, den), lists, num, den).filter(F.least("n_a", "n_b") <= HUGE)
+    found = _verified(_neighbours(lists, num, den, min_size), lists, num, den).filter(F.least("n_a", "n_b") <= HUGE)
     if not big.isEmpty():
         found = found.unionByName(_huge(big, num, den))
     return found, membership
 
 
-def _neighbours(lists: DataFrame, num: int, den: int) -> DataFrame:
+def _neighbours(lists: DataFrame, num: int, den: int, least: int) -> DataFrame:
     """Distinct pairs ``id_a < id_b`` of sets that some tree makes neighbours and the bounds let pass."""
-    e = lists.mapInArrow(forest(num, den), ENTRY)
+    e = lists.mapInArrow(forest(num, den, least), ENTRY)
     a = e.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "b1", "b2")))
     b = e.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "b1", "b2")))
     only = lambda x, y: sum((F.bit_count(F.col(f"b{i}_{x}").bitwiseAND(F.bitwise_not(f"b{i}_{y}"))) for i in (1, 2)), F.lit(0))

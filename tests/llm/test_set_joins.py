@@ -112,3 +112,33 @@ def test_recall_over_many_sets(spark):
         sets[2 * i + 1] = set(base[:6]) | {300_000 + i, 400_000 + i}
     got = joined(spark, sets)[0]
     assert len(got) >= 2999
+
+
+def test_recall_where_only_frequent_items_are_shared(spark):
+    """At 0.6, all common items held by many sets and all others unique: prefixes that can match are deep ones only."""
+    r = random.Random(8)
+    sets = {}
+    for i in range(1500):
+        base = set(r.sample(range(60), 6))
+        sets[2 * i] = base | {300_000 + 2 * i, 300_001 + 2 * i}
+        sets[2 * i + 1] = base | {400_000 + 2 * i, 400_001 + 2 * i}
+    got = set(joined(spark, sets)[0])
+    assert [i for i in range(1500) if (2 * i, 2 * i + 1) not in got] == []
+
+
+def test_trees_needed_against_trials():
+    """The worst partner's chance in a tree, by drawing orders."""
+    r = random.Random(9)
+    # of 8 items 1 is unique, 2 are rare: a partner at 0.6 lacks 1 to 3 of them, rare ones first, and has others
+    worst = 1.0
+    for x, rare, others in ((1, 2, 3), (2, 1, 2), (3, 0, 0)):
+        union = ["r"] * rare + ["f"] * (8 - x - rare) + ["-"] * (x + others)
+        hits = 0
+        for _ in range(40_000):
+            first = r.sample(union, 4)
+            end = first.index("r") + 1 if "r" in first else 4
+            hits += "-" not in first[:end]
+        worst = min(worst, hits / 40_000)
+    need = set_joins.trees_needed(8, 1, 2, 3, 5, 5)
+    assert abs((1 - set_joins.MISS ** (1 / need)) - worst) < 0.01
+    assert set_joins.trees_needed(8, 4, 0, 3, 5, 5) == 0  # too many that nobody shares
