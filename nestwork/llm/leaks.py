@@ -5,8 +5,9 @@ words, so that broken words don't matter). An item-sized window is ``run`` conse
 item; a page that contains it keeps at least ``KEPT`` of the window's shingles through misread
 letters. Per window the shingles are ordered by rarity over all pages; a containing page must hold at
 least ``l`` of the rarest ``n - kept + l``, so only these tokens are joined, with ``l`` a third of the
-kept. Bounds on the number and the place of the hits precede the join; every candidate is verified
-by aligning item and page letter by letter.
+kept. A bound on the number of the hits precedes the join; every candidate is verified by aligning
+item and page letter by letter. The hits may lie anywhere on the page: only the length of a single
+interruption is bounded, by ``FAR``.
 
 The items' shingles go to the executors in blocks of at most ``MOST_SHINGLES`` (a size that is
 checked); each block is held against all pages, so there may be any number of items.
@@ -33,7 +34,6 @@ from ..storage import materialize
 from .pages import fold, grams, page_columns, read_pages
 
 SHINGLE, SEED, KEPT, MOST_SHINGLES = 12, 5, 0.5, 2_000_000
-SPREAD = 8  # a window's hits lie within so many times its length on the page
 NOISE, SHIFT, AT_EDGE, FAR = 14, 2, 6, 4000  # letters: bridged as misread, length change, slack at a line's end, longest interruption
 
 
@@ -57,10 +57,9 @@ class Item:
         return [(a, b) for a, b in found if b > a]
 
 
-    def bounds(self, run: int) -> tuple[int, int]:
-        """The fewest shingles that a page keeps of a window, and how far apart they are on it at most."""
-        sizes = [b - a for a, b in self.windows(run)]
-        return (kept(min(sizes)), SPREAD * max(sizes)) if sizes else (1 << 30, 0)
+    def least(self, run: int) -> int:
+        """The fewest shingles that a page keeps of a window."""
+        return kept(min((b - a for a, b in self.windows(run)), default=1 << 30))
 
 
 def kept(n: int) -> int:
@@ -89,24 +88,25 @@ def longest_run(item: Item, page: str, edges: list[int]) -> int:
         i = bisect_left(edges, p - AT_EDGE)
         return i < len(edges) and edges[i] <= p + AT_EDGE
 
-    best, low = 0, 0
+    best, longest = 0, max((b[2] for b in blocks), default=0)
+    until: dict[int, list[list[int]]] = {}  # the blocks so far by their end in the item
     ends, begins = item.ends, item.begins
-    at_edge = [edge(b[1]) for b in blocks]
-    for j, block in enumerate(blocks):
+    for block in blocks:
         s, p, n, _ = block
-        while blocks[low][1] + FAR < p:
-            low += 1
+        at_edge = edge(p)
+        reach = longest + (FAR if at_edge else NOISE + SHIFT)
         start = s
-        for i in range(low, j):
-            s0, p0, n0, b0 = blocks[i]
-            if b0 >= start or s0 >= s:
-                continue
-            gap_s, gap_p = s - s0 - n0, p - p0 - n0
-            if gap_s < 1 - SEED or gap_s > NOISE or gap_p < 1 - SEED:
-                continue
-            if abs(gap_s - gap_p) <= SHIFT or (gap_s <= AT_EDGE and gap_p > 0 and at_edge[j] and edge(p0 + n0)):
-                start = b0
+        for end in range(s - NOISE, s + SEED):
+            for s0, p0, n0, b0 in reversed(until.get(end, ())):
+                if p0 + reach < p:
+                    break
+                gap_s, gap_p = s - end, p - p0 - n0
+                if b0 >= start or s0 >= s or gap_p < 1 - SEED or gap_p > FAR:
+                    continue
+                if abs(gap_s - gap_p) <= SHIFT or (gap_s <= AT_EDGE and gap_p > 0 and at_edge and edge(p0 + n0)):
+                    start = b0
         block[3] = start
+        until.setdefault(s + n, []).append(block)
         words = bisect_left(ends, s + n + 2) - bisect_left(begins, start - 1)
         best = max(best, words)
     return best
@@ -127,8 +127,8 @@ def _item_shingles(run: int):
     return make
 
 
-def _hits(known, least: int, reach: int):
-    """Per page: ids of the known shingles on it; its letters and line ends where the bounds let it pass."""
+def _hits(known, least: int):
+    """Per page: ids of the known shingles on it; its letters and line ends where it holds ``least`` or more."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
@@ -148,9 +148,9 @@ def _hits(known, least: int, reach: int):
                     continue
                 who.append(i)
                 all_ids.append(np.unique(at[place]).astype(np.int32))
-                near = len(place) >= least and (place[least - 1 :] - place[: len(place) - least + 1]).min() <= reach
-                streams.append(stream if near else None)
-                edges.append(np.cumsum([0, *map(len, parts)]).astype(np.int32) if near else None)
+                enough = len(place) >= least
+                streams.append(stream if enough else None)
+                edges.append(np.cumsum([0, *map(len, parts)]).astype(np.int32) if enough else None)
             sizes = np.cumsum([0, *map(len, all_ids)]).astype(np.int32)
             flat = np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -201,22 +201,8 @@ def _verify(run: int):
                 item = items.get(item_id) or items.setdefault(item_id, Item(text))
                 if len(items) > 5000:
                     items.popitem(last=False)
-                least, reach = item.bounds(run)
-                place = np.flatnonzero(np.isin(grams(stream, SHINGLE), item.shingles))
-                first = place[: max(0, len(place) - least + 1)]
-                dense = place[least - 1 :] - first <= reach if len(first) else np.zeros(0, bool)
-                found, done = 0, -1
-                # the stretches of the page that hold enough hits, with room for what else belongs to them
-                for lo, hi in zip(first[dense].tolist(), place[least - 1 :][dense].tolist()):
-                    if hi <= done:
-                        continue
-                    lo, hi = max(0, lo - reach), hi + reach
-                    while (more := dense & (first <= hi) & (place[least - 1 :] > hi)).any() and hi - lo < FAR:
-                        hi = int(place[least - 1 :][more].max()) + reach
-                    inside = [e - lo for e in edges[bisect_left(edges, lo) : bisect_left(edges, hi + 1)]]
-                    found = max(found, longest_run(item, stream[lo:hi], inside))
-                    done = hi
-                length.append(found)
+                enough = np.isin(grams(stream, SHINGLE), item.shingles).sum() >= item.least(run)
+                length.append(longest_run(item, stream, edges) if enough else 0)
             out = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("item_id"), pa.array(length, pa.int64())], ["doc_id", "item_id", "n_words"]
             )
@@ -246,9 +232,9 @@ def _block(spark, pages, items, shingles, run, text, boxes, doc_id) -> DataFrame
     known = np.sort(shingles.select("gram").distinct().toPandas()["gram"].to_numpy().astype(np.int64).view(np.uint64))
     if not len(known):
         return spark.createDataFrame([], f"doc_id {key_type}, item_id {items.schema['item_id'].dataType.simpleString()}, n_words long")
-    least, reach = items.mapInArrow(_window_sizes(run), "least int, reach int").agg(F.min("least"), F.max("reach")).first()
+    least = items.mapInArrow(_window_sizes(run), "least int").agg(F.min("least")).first()[0]
     hits = pages.select(F.col(doc_id).alias("doc_id"), *page_columns(pages, text, boxes)).mapInArrow(
-        _hits(spark.sparkContext.broadcast(known), least, reach),
+        _hits(spark.sparkContext.broadcast(known), least),
         f"doc_id {key_type}, ids array<int>, letters string, edges array<int>",
     )
     hits = materialize(hits, "page-hits")
@@ -273,12 +259,11 @@ def _block(spark, pages, items, shingles, run, text, boxes, doc_id) -> DataFrame
 
 
 def _window_sizes(run: int):
-    """The bounds of every item that has a window."""
+    """The bound of every item that has a window."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for x in (Item(t).bounds(run) for t in batch.column("text").to_pylist()) if x[1]]
-            columns = [pa.array([x[i] for x in found], pa.int32()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, ["least", "reach"])
+            found = [x.least(run) for x in map(Item, batch.column("text").to_pylist()) if x.windows(run)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], ["least"])
 
     return make

@@ -113,6 +113,26 @@ def test_a_very_long_page(spark, items):
     assert found(spark, [(1, text, None)], items) == [(1, 103)]
 
 
+def test_long_interruptions(spark, items):
+    """A passage in two or three parts with a column's letters between them, on pages read as they stand."""
+    r = random.Random(6)
+    pages = []
+    for d, cuts in enumerate([(12,), (8, 16), (12,)]):
+        passage, lines = items[d][1].split()[4:28], []
+        for a, b in zip((0, *cuts), (*cuts, 24)):
+            # 3,500 letters may lie between two parts, FAR of them and a hundred may not
+            fill, letters = [], 0
+            while letters < (leaks.FAR + 100 if d == 2 else 3500) - 20:
+                fill.append(r.choice(["zyx", "wqvu", "yyqxj"]) + r.choice(["jj", "kq"]))
+                letters += len(fill[-1])
+            while letters < leaks.FAR + 100 and d == 2:
+                fill.append("q")
+                letters += 1
+            lines += [*lines_of(fill), *lines_of(passage[a:b])]
+        pages.append((d, "\n".join(lines), None))
+    assert found(spark, pages, items) == [(0, 100), (1, 101)]
+
+
 def test_extra_columns(spark, items):
     df = spark.createDataFrame([(1, items[0][1], None, "x", 5)], PAGES + ", ids string, item_id long")
     own = spark.createDataFrame([(*i, "y") for i in items], "item_id long, text string, letters string")
