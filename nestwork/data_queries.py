@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.lsm import from_log
-from .operators.orphans import Reference, orphan_counts, orphan_references
+from .operators.orphans import Reference, orphan_references, orphan_totals
 from .operators.skew import eager_join_aggregate, key_counts
 from .operators.changelog import current_state
 from .sources.tables import reader
@@ -22,13 +22,17 @@ LOG_KEYS = {"playlist": "id", "playlist_media": "id", "users": "user_id"}
 HEAVY_SHARE = 0.02
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p2_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     get = reader(spark, sf_dir)
-    return orphan_references({t: get(t) for r in REFERENCES for t in (r.table, r.target)}, REFERENCES)
+    return {t: get(t) for r in REFERENCES for t in (r.table, r.target)}
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphan_references(_p2_tables(spark, sf_dir), REFERENCES)
 
 
 def p2_orphan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_counts(p2_found(spark, sf_dir))
+    return orphan_totals(_p2_tables(spark, sf_dir), REFERENCES)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .changelog import deciding_change, is_delete
 from .skew import heavy_keys, lookup
 
@@ -54,6 +55,17 @@ def target_summary(log: DataFrame, key: str, gone: str | None) -> DataFrame:
     )
 
 
+def live_references(log: DataFrame, r: Reference) -> DataFrame:
+    """The live records of ``log`` that refer to something: ``rec_id, ref_id, ts, first_arrival``."""
+    state = deciding_change(
+        log,
+        {f"key{i}": F.col(k) for i, k in enumerate(r.keys)},
+        {"rec_id": F.col(r.rec_id), "ref_id": F.col(r.ref), "ts": F.col("ts")},
+        arrived="arrived_at",
+    )
+    return state.filter(~F.col("is_deleted") & F.col("ref_id").isNotNull()).select("rec_id", "ref_id", "ts", "first_arrival")
+
+
 def orphan_references(tables: dict[str, DataFrame], refs: list[Reference]) -> DataFrame:
     """Every reference at fault: ``tab, rec_id, ref_id, fault, period``.
 
@@ -64,15 +76,7 @@ def orphan_references(tables: dict[str, DataFrame], refs: list[Reference]) -> Da
 
     def one(r: Reference) -> DataFrame:
         log = tables[r.table]
-        state = deciding_change(
-            log,
-            {f"key{i}": F.col(k) for i, k in enumerate(r.keys)},
-            {"rec_id": F.col(r.rec_id), "ref_id": F.col(r.ref), "ts": F.col("ts")},
-            arrived="arrived_at",
-        )
-        live = state.filter(~F.col("is_deleted") & F.col("ref_id").isNotNull()).select(
-            "rec_id", "ref_id", "ts", "first_arrival"
-        )
+        live = live_references(log, r)
         heavy = heavy_keys(log.select(F.col(r.ref).alias("ref_id")), "ref_id")
         seen = lookup(live, target_summary(tables[r.target], r.target_key, r.gone), "ref_id", heavy)
         fault = (
@@ -99,3 +103,39 @@ def orphan_counts(found: DataFrame) -> DataFrame:
     return per_key.groupBy("tab", "period", "fault").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_keys")
     )
+
+
+def orphan_totals(tables: dict[str, DataFrame], refs: list[Reference]) -> DataFrame:
+    """As :func:`orphan_counts` of :func:`orphan_references`, aggregated before the lookup.
+
+    Live references are combined per key and period into a count and the bounds of their first
+    arrivals, so a heavy key is one row per period when it meets the target. Only where a target's
+    first insert falls between the bounds are the single references counted; both counts are united.
+    """
+
+    def one(r: Reference) -> DataFrame:
+        live = live_references(tables[r.table], r).select("ref_id", month_utc(F.col("ts")).alias("period"), "first_arrival")
+        live = materialize(live, "live-references")
+        states = live.groupBy("ref_id", "period").agg(
+            F.count(F.lit(1)).alias("all"),
+            F.count("first_arrival").alias("arrived"),
+            F.min("first_arrival").alias("low"),
+            F.max("first_arrival").alias("high"),
+        )
+        seen = materialize(states.join(target_summary(tables[r.target], r.target_key, r.gone), "ref_id", "left"), "orphan-states")
+        gone = seen.filter(F.col("live").isNull() | ~F.col("live"))
+        fault = F.when(F.col("live").isNull(), "missing").otherwise("deleted")
+        late = seen.filter(F.col("live") & (F.col("first_seen") > F.col("low")))
+        whole = late.filter(F.col("first_seen") > F.col("high"))
+        split = late.filter(F.col("first_seen") <= F.col("high")).select("ref_id", "period", "first_seen")
+        some = live.join(split, ["ref_id", "period"]).filter(F.col("first_seen") > F.col("first_arrival"))
+        parts = [
+            gone.select("ref_id", "period", fault.alias("fault"), F.col("all").alias("n")),
+            whole.select("ref_id", "period", F.lit("late").alias("fault"), F.col("arrived").alias("n")),
+            some.groupBy("ref_id", "period").agg(F.count(F.lit(1)).alias("n")).select("ref_id", "period", F.lit("late").alias("fault"), "n"),
+        ]
+        per_key = reduce(DataFrame.unionByName, parts)
+        totals = per_key.groupBy("period", "fault").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_keys"))
+        return totals.select(F.lit(r.table).alias("tab"), "period", "fault", "n", "n_keys")
+
+    return reduce(DataFrame.unionByName, map(one, refs))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nestwork.operators.changelog import current_state, deciding_change
 from nestwork.operators.lsm import LsmTable, from_log
-from nestwork.operators.orphans import Reference, orphan_counts, orphan_references
+from nestwork.operators.orphans import Reference, orphan_counts, orphan_references, orphan_totals
 from nestwork.operators.skew import eager_join_aggregate, heavy_keys, key_counts, lookup
 
 SCHEMA = f"id long, owner long, {LOG}"
@@ -83,6 +83,22 @@ def test_orphans(spark, rows, zone):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_orphan_totals(spark, rows):
+    """Counts aggregated before the lookup are those of the single references, also where a target comes in between."""
+    lists = log_rows(3, 400)
+    users = random_log(rng(4), lambda x: (x.choice([7, 8, 9, 10]),), lambda x: (x.choice([1, 2, None]),), 12)
+    late = [u[:-1] + (u[-1] + timedelta(days=30),) for u in users]
+    ref = [Reference("lists", ("id",), "id", "owner", "users", "id", "owner = 2")]
+    for target in (users, late, []):
+        tables = {"lists": spark.createDataFrame(lists, SCHEMA), "users": spark.createDataFrame(target, SCHEMA)}
+        names = ("tab", "period", "fault", "n", "n_keys")
+        got = rows(orphan_totals(tables, ref), *names)
+        assert got == rows(orphan_counts(orphan_references(tables, ref)), *names) and got
+        want = Counter((w[0], w[4], w[3]) for w in brute_orphans(lists, target, lambda s: s == 2))
+        assert [g[:4] for g in got] == sorted(((*k, n) for k, n in want.items()), key=repr)
+    assert rows(orphan_totals({"lists": tables["lists"].limit(0), "users": tables["users"]}, ref)) == []
+
+
 @pytest.mark.parametrize("runs", [1, 3, 7])
 def test_merge_table(spark, rows, runs):
     log = log_rows(5, 500)
