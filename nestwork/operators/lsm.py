@@ -2,8 +2,9 @@
 
 The table is one bucketed Spark table, partitioned by run. ``append`` reduces a batch of changes to
 the newest per key and writes it as a new run, bucketed by key and sorted by key and sequence; a
-delete is kept as a tombstone. ``read`` merges the runs bucket by bucket: the same buckets of all
-runs meet in one task, so the merge needs no shuffle. ``compact`` merges all runs into one. It keeps
+delete is kept as a tombstone. ``read`` aggregates the runs bucket by bucket: the same buckets of all
+runs meet in one task, so it needs no shuffle. It is no k-way merge, as Spark states no order for a
+bucket of several files and sorts it again. ``compact`` merges all runs into one. It keeps
 tombstones, as an older change of a deleted key may still arrive; only ``read`` leaves them out.
 
 Changes may come repeatedly and in any order, within a batch or between batches; the result is the
