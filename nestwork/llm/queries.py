@@ -90,7 +90,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources that the mix, drawn in words, could not fill."""
+    """The sources that the mix, drawn in words, could not fill; the plan decides that, not the rounding."""
     return p7_report(spark, sf_dir).filter("short").select("source")
 
 
