@@ -419,6 +419,24 @@ def keyset_rows_minus(spark: SparkSession, d: str) -> DataFrame:
     return keysets.rows_minus(*_key_rows(spark, d))
 
 
+def _whole_key_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two whole columns that differ both ways: owners of playlists, and users."""
+    get = reader(spark, d)
+    return get("playlist").select(F.col("user_id").alias("k")), get("users").select(F.col("user_id").alias("k"))
+
+
+def keyset_whole_union(spark: SparkSession, d: str) -> DataFrame:
+    return keysets.rows_union(*_whole_key_rows(spark, d))
+
+
+def keyset_whole_minus(spark: SparkSession, d: str) -> DataFrame:
+    return keysets.rows_minus(*_whole_key_rows(spark, d))
+
+
+def keyset_whole_minus_back(spark: SparkSession, d: str) -> DataFrame:
+    return keysets.rows_minus(*reversed(_whole_key_rows(spark, d)))
+
+
 # -- queues, metrics, streams
 
 
@@ -494,7 +512,8 @@ QUERIES = {
         denormalized_media, denormalized_players, denormalized_json, latest_by_key, latest_with_tombstones, filter_skip,
         filter_mode_counts, change_detection, join_index_forward, join_index_reverse, parent_index, parent_index_scrub,
         verify_index, affected_roots, incremental_equals_full, key_encoding_int, key_encoding_string, key_encoding_boolean,
-        key_encoding_composite, keyset_operations, keyset_rows_union, keyset_rows_minus, queue_priorities, queue_drain,
+        key_encoding_composite, keyset_operations, keyset_rows_union, keyset_rows_minus,
+        keyset_whole_union, keyset_whole_minus, keyset_whole_minus_back, queue_priorities, queue_drain,
         stream_player_documents, memory_log_latest,
     )
 }
@@ -577,6 +596,9 @@ SQL = {
         count(*) filter (a and b) as n_both, string_agg(h, ',' order by h) as keys from g group by 1""",
     "keyset_rows_union": "select o_custkey as k from orders union select c_custkey from customer where c_custkey % 2 = 0",
     "keyset_rows_minus": "select o_custkey as k from orders except select c_custkey from customer where c_custkey % 2 = 0",
+    "keyset_whole_union": "select user_id as k from playlist union select user_id from users",
+    "keyset_whole_minus": "select user_id as k from playlist except select user_id from users",
+    "keyset_whole_minus_back": "select user_id as k from users except select user_id from playlist",
     "queue_priorities": "select case o_orderstatus when 'F' then 'HIGH' when 'O' then 'NONE' else 'LOW' end as priority, count(*) as n from orders group by 1",
     "queue_drain": f"""select {_hex('o_orderkey')} as pk, false as is_low, 7::bigint as since from orders where o_orderstatus = 'F'
       union all select * from (select {_hex('o_orderkey')} as pk, true, 7::bigint from orders where coalesce(o_orderstatus, '') not in ('F', 'O') order by 1 limit 100)""",

@@ -49,3 +49,13 @@ def test_entry(spark):
 
 def test_all_core_queries_have_sql():
     assert set(core(driver.queries())) == set(core(driver.oracle_sql()))
+
+
+def test_key_rows_meet_whole(spark, duck):
+    """Both columns pass whole through the registered set operations: what is in one only comes out, odd or even."""
+    only = lambda a, b: {k for (k,) in duck.sql(f"select user_id from {a} except select user_id from {b}").fetchall()}
+    run = lambda name: {r.k for r in driver.queries()[name](spark, DATA).collect()}
+    owners, users = only("playlist", "users"), only("users", "playlist")
+    assert owners and users and any(k and k % 2 for k in owners | users)
+    assert run("keyset_whole_minus") == owners and run("keyset_whole_minus_back") == users
+    assert run("keyset_whole_union") >= owners | users
