@@ -113,26 +113,47 @@ def test_a_very_long_page(spark, items):
     assert found(spark, [(1, text, None)], items) == [(1, 103)]
 
 
-def test_long_interruptions(spark, items):
-    """A passage in two or three parts with a column's letters between them, on pages read as they stand."""
+@pytest.mark.parametrize("far", [0, 500, 1000, 4500, 8000, 20_000])
+def test_long_interruptions(spark, items, far):
+    """A passage in two or three parts with so many letters of other lines between them, on pages read as they stand."""
     r = random.Random(6)
     pages = []
-    for d, cuts in enumerate([(12,), (8, 16), (12,)]):
-        passage, lines = items[d][1].split()[4:28], []
-        for a, b in zip((0, *cuts), (*cuts, 24)):
-            # 3,500 letters may lie between two parts, FAR of them and a hundred may not
+    for d, cuts in enumerate([(12,), (8, 16)]):
+        passage, lines = items[d][1].split()[4:26], []
+        for a, b in zip((0, *cuts), (*cuts, 22)):
             fill, letters = [], 0
-            while letters < (leaks.FAR + 100 if d == 2 else 3500) - 20:
+            while letters < far:
                 fill.append(r.choice(["zyx", "wqvu", "yyqxj"]) + r.choice(["jj", "kq"]))
                 letters += len(fill[-1])
-            while letters < leaks.FAR + 100 and d == 2:
-                fill.append("q")
-                letters += 1
             lines += [*lines_of(fill), *lines_of(passage[a:b])]
         pages.append((d, "\n".join(lines), None))
     assert found(spark, pages, items) == [(0, 100), (1, 101)]
 
 
+def test_words_at_the_ends_of_a_run(spark):
+    """19 words beside one- and two-letter words of the item, parts of longer words, and words that lack letters are no 20."""
+    r = random.Random(9)
+    mid = words(r, 19)
+    item = " ".join(["i", *mid, "a"])
+    text = lambda first, last, n=19: " ".join([*words(r, 30), *first, *mid[:n], *last, *words(r, 30)])
+    pages = [
+        (1, text([], []), None), (2, text([], ["apple"]), None), (3, text(["taxi"], []), None), (4, text(["i"], [], 18), None),
+        (5, text(["i"], []), None), (6, text([], ["a"]), None), (7, text(["I,"], ["-a."]), None),
+    ]
+    assert found(spark, pages, [(1, item)]) == [(5, 1), (6, 1), (7, 1)]
+    of, by = words(r, 18), "house"
+    item = " ".join(["bright", *of, by])
+    pages = [
+        (1, " ".join(["xx", "right", *of, "hous", "yy"]), None),  # both words lack a letter at the outside
+        (2, " ".join(["xx", "bright", *of, by, "yy"]), None),
+        (3, " ".join(["xx", "brighl", *of, "honse", "yy"]), None),  # a misread letter each
+        (4, " ".join(["xx", "brooch", *of, "mouth", "yy"]), None),
+        (5, " ".join(["xx", "bright", *of[:9], "\n", *of[9:], "house", "yy"]), None),
+        (6, " ".join(["xx", "br", "ight", *of, "ho\nuse", "yy"]), None),
+    ]
+    assert found(spark, pages, [(1, item)]) == [(2, 1), (3, 1), (5, 1), (6, 1)]
+
+
 def test_extra_columns(spark, items):
     df = spark.createDataFrame([(1, items[0][1], None, "x", 5)], PAGES + ", ids string, item_id long")
     own = spark.createDataFrame([(*i, "y") for i in items], "item_id long, text string, letters string")
