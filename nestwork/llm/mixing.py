@@ -7,11 +7,15 @@ time, one takes mass from the other by chance until one of them is 0 or 1, so th
 a source varies by less than one. Each task rounds its own pages, in order of size, and leaves at most
 one fraction per source; these residuals are combined by a reduction tree of fan-in ``FAN_IN``.
 
-Random numbers are hashes of page ids, so a task that runs again decides alike.
+Every duel has a random number of its own, a hash of the seed, both pages and the duel's place; a
+fraction that is left alone is decided by yet another one. So a task that runs again decides alike,
+and every page is used ``f`` times in expectation. Which pages meet depends on how the input is
+divided into tasks: other files with the same rows give another draw of the same law.
 
 Defined results: sources compare ignoring case and outer blanks; pages whose source has no target (or
 is null) count in T but are not drawn; a target without pages has size 0; a null size counts as 0; a
-null ``max_repeat`` or weight is 0; a page id that occurs twice is two pages. Sources are few
+null ``max_repeat`` or weight is 0; a page id that occurs twice is two pages; targets that compare
+equal are filled one by one from the same pages. Sources are few
 (``mix_target`` is a fixed table), so their statistics are broadcast after a check of their number.
 """
 
@@ -36,23 +40,27 @@ def word_count(text: str) -> Column:
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str, pattern: str):
+def _encoding(vocabulary: bytes, pattern: str):
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def with_token_counts(pages: DataFrame, text: str, path: str, pattern: str, out: str = "size") -> DataFrame:
-    """``pages`` with the number of tokens of ``text`` under the byte-level BPE ranks in ``path``; ``text`` is dropped."""
+    """``pages`` with the number of tokens of ``text`` under the byte-level BPE ranks in ``path``; ``text`` is dropped.
+
+    The vocabulary is read by the driver and sent to the executors; it is a megabyte or two.
+    """
     pages = pages.select(*(c for c in pages.columns if c != out or c == text))  # an older column of that name gives way
     schema = f"{pages.drop(text).schema.toDDL()}, `{out}` bigint" if len(pages.columns) > 1 else f"`{out}` bigint"
+    with open(path, "rb") as f:
+        vocabulary = pages.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path, pattern).encode_ordinary
+        encode = _encoding(vocabulary.value, pattern).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch.column(text).to_pylist()]
             kept = [i for i, c in enumerate(batch.schema.names) if c != text]
@@ -64,22 +72,24 @@ def with_token_counts(pages: DataFrame, text: str, path: str, pattern: str, out:
 
 
 def source_plan(pages: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target, as written: ``source, key, weight, max_repeat, size, total, wanted, copies, short``.
+    """Per target, as written: ``source, key, weight, max_repeat, size, n_pages, total, wanted, copies, short``.
 
     ``copies`` is the expected number of times each page is used; ``short`` says that even
     ``max_repeat`` times all pages are less than ``wanted = weight * total``. ``pages`` has ``source``
     and ``size``.
     """
-    sizes = pages.groupBy(F.lower(F.trim("source")).alias("key")).agg(F.sum("size").alias("size"))
+    sizes = pages.groupBy(F.lower(F.trim("source")).alias("key")).agg(
+        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n_pages")
+    )
     sizes = materialize(sizes, "source-sizes")
     total = int(sizes.agg(F.sum("size")).first()[0] or 0)
     want = targets.select(
         "source",
         F.lower(F.trim("source")).alias("key"),
         F.coalesce("weight", F.lit(0.0)).cast("double").alias("weight"),
-        F.coalesce("max_repeat", F.lit(0)).cast("int").alias("max_repeat"),
+        F.greatest(F.coalesce("max_repeat", F.lit(0)), F.lit(0)).cast("int").alias("max_repeat"),
     )
-    known = want.join(sizes, "key", "left").withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
+    known = want.join(sizes, "key", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("size", "n_pages")})
     wanted = F.col("weight") * F.lit(total).cast("double")
     return known.select(
         "source",
@@ -87,6 +97,7 @@ def source_plan(pages: DataFrame, targets: DataFrame) -> DataFrame:
         "weight",
         "max_repeat",
         "size",
+        "n_pages",
         F.lit(total).cast("long").alias("total"),
         wanted.alias("wanted"),
         F.when(F.col("size") > 0, F.least(F.col("max_repeat").cast("double"), wanted / F.col("size"))).otherwise(0.0).alias("copies"),
@@ -94,39 +105,57 @@ def source_plan(pages: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def _pivot(rows: list[tuple[int, float, float]]) -> tuple[list[tuple[int, int]], tuple[int, float] | None]:
-    """``(index, probability, uniform)`` in order to decisions ``(index, 0 or 1)`` and what stays fractional."""
+_MASK = 2**64 - 1
+
+
+def chance(*parts: int) -> float:
+    """A number in [0, 1) that the given ones decide."""
+    x = 0x9E3779B97F4A7C15
+    for part in parts:
+        x = (x ^ (part & _MASK)) * 0xBF58476D1CE4E5B9 & _MASK
+        x = (x ^ (x >> 29)) * 0x94D049BB133111EB & _MASK
+        x ^= x >> 32
+    return (x >> 11) / 2.0**53
+
+
+def _pivot(rows: list[tuple[int, float, int]], place: int) -> tuple[list[tuple[int, int]], tuple[int, float] | None]:
+    """``(index, probability, hash)`` in order to decisions ``(index, 0 or 1)`` and what stays fractional.
+
+    ``place`` tells the calls of one draw apart.
+    """
     out: list[tuple[int, int]] = []
-    left: tuple[int, float] | None = None
-    for i, p, u in rows:
+    left: tuple[int, float, int] | None = None
+    for duel, (i, p, h) in enumerate(rows):
         if p <= 1e-12 or p >= 1 - 1e-12:
             out.append((i, int(p > 0.5)))
             continue
         if left is None:
-            left = (i, p)
+            left = (i, p, h)
             continue
-        j, q = left
+        j, q, g = left
+        u = chance(h, g, place, duel)
         if p + q < 1:
-            keep, drop = (i, j) if u * (p + q) < p else (j, i)
+            (keep, k), drop = ((i, h), j) if u * (p + q) < p else ((j, g), i)
             out.append((drop, 0))
-            left = (keep, p + q)
+            left = (keep, p + q, k)
         else:
             # one becomes 1, the other keeps p + q - 1
-            one, other = (i, j) if u * (2 - p - q) < 1 - q else (j, i)
+            one, (other, k) = (i, (j, g)) if u * (2 - p - q) < 1 - q else (j, (i, h))
             out.append((one, 1))
-            left = (other, p + q - 1)
+            left = (other, p + q - 1, k)
         if left[1] <= 1e-12 or left[1] >= 1 - 1e-12:
             out.append((left[0], int(left[1] > 0.5)))
             left = None
-    return out, left
+    return out, left[:2] if left else None
 
 
-def _round(rows: pd.DataFrame) -> pd.DataFrame:
+def _round(rows: pd.DataFrame, place: int) -> pd.DataFrame:
     """Rounds ``p`` within each source; at most one row of a source keeps a fraction."""
-    rows = rows.sort_values(["key", "size", "doc_id"], kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["source", "size", "doc_id"], kind="stable").reset_index(drop=True)
     p = rows["p"].to_numpy(copy=True)
-    for places in rows.groupby("key", sort=False).indices.values():
-        done, left = _pivot([(i, p[i], u) for i, u in zip(places.tolist(), rows["u"].to_numpy()[places].tolist())])
+    hashes = rows["h"].to_numpy()
+    for places in rows.groupby("source", sort=False).indices.values():
+        done, left = _pivot([(i, p[i], h) for i, h in zip(places.tolist(), hashes[places].tolist())], place)
         for i, v in done:
             p[i] = v
         if left:
@@ -134,57 +163,84 @@ def _round(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(p=p)
 
 
+def _round_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rounds batch by batch; a source's fraction waits for the source's next batch, or is the task's residual."""
+    left: dict[str, pd.DataFrame] = {}
+    for place, frame in enumerate(frames):
+        met = [left.pop(x) for x in frame["source"].unique().tolist() if x in left]
+        both = _round(pd.concat([*met, frame], ignore_index=True) if met else frame, place)
+        open_ = (both["p"] > 0) & (both["p"] < 1)
+        yield both[~open_]
+        left |= {row["source"].iloc[0]: row for row in (both.iloc[[i]] for i in open_.to_numpy().nonzero()[0])}
+    if left:
+        yield pd.concat(left.values(), ignore_index=True)
+
+
 def mixed_pages(pages: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The draw and its report, from ``pages`` (``doc_id, source, size``) and ``targets``.
 
     The draw: ``doc_id, source`` (as in the target), ``size, copies`` of every page used at least once. The report, one row
-    per target: ``source, weight, drawn`` (size drawn), ``share`` (of all that was drawn), ``wanted,
-    short``.
+    per target: ``source, weight, n_drawn`` (pages drawn, with their repeats), ``drawn`` (size drawn), ``share`` (of all that
+    was drawn), ``wanted, short``: every page of the source was drawn ``max_repeat`` times, and that is less than wanted.
     """
     plan = source_plan(pages, targets)
-    few = plan.groupBy("key").agg(F.min("source").alias("target"), F.sum("copies").alias("f")).filter("f > 0")
+    few = plan.filter("copies > 0").select("key", F.col("source").alias("target"), F.col("copies").alias("f"), "max_repeat")
     if few.count() > FEW:
         raise ValueError(f"more than {FEW} sources have a target")
     base = pages.select(
         "doc_id", F.lower(F.trim("source")).alias("key"), F.coalesce("size", F.lit(0)).cast("long").alias("size")
     ).join(F.broadcast(few), "key")
     low = F.floor("f")
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 11) / float(2**53)).alias("u")
-    base = base.select("doc_id", "key", F.col("target").alias("source"), "size", low.alias("low"), (F.col("f") - low).alias("p"), uniform)
+    base = base.select(
+        "doc_id",
+        F.col("target").alias("source"),
+        "size",
+        "max_repeat",
+        low.alias("low"),
+        (F.col("f") - low).alias("p"),
+        F.xxhash64(F.lit(seed), "doc_id", "size", "target").alias("h"),
+    )
     schema = base.schema.toDDL()
 
-    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left: pd.DataFrame | None = None
-        for frame in frames:
-            both = frame if left is None or left.empty else pd.concat([left, frame], ignore_index=True)
-            both = _round(both)
-            open_ = (both["p"] > 0) & (both["p"] < 1)
-            yield both[~open_]
-            left = both[open_]
-        if left is not None and not left.empty:
-            yield left
-
-    level = materialize(base.mapInPandas(first, schema), "mix-level")
+    level = materialize(base.mapInPandas(_round_task, schema), "mix-level")
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
     done, rest = level.filter(~open_), level.filter(open_)
     depth = 0
-    while (n := rest.count()) > 0:
-        last = n <= rest.select("key").distinct().count()
-        if last:  # one fraction per source: decided by its own chance
-            done = done.unionByName(rest.withColumn("p", (F.col("u") < F.col("p")).cast("double")))
-            break
+    while True:
+        per = rest.groupBy("source").agg(F.count(F.lit(1)).alias("n"))  # FEW rows at most
+        most = per.agg(F.max("n")).first()[0]
         depth += 1
-        again = F.xxhash64(F.lit(seed), F.lit(depth), "doc_id", "size")
-        rest = rest.withColumn("u", F.shiftrightunsigned(again, 11) / float(2**53))
-        nodes = -(-n // FAN_IN)
-        node = F.pmod(again, F.lit(nodes)).alias("node")
-        level = materialize(rest.groupBy("key", node).applyInPandas(_round, schema), "mix-level")
+        again = F.xxhash64(F.lit(seed), F.lit(depth), "h")
+        if (most or 0) <= 1:  # one fraction per source: decided by its own chance
+            own = F.shiftrightunsigned(again, 11) / float(2**53)
+            done = done.unionByName(rest.withColumn("p", (own < F.col("p")).cast("double")))
+            break
+        node = F.pmod(again, F.ceil(F.col("n") / FAN_IN)).alias("node")
+        nodes = rest.join(F.broadcast(per), "source").groupBy("source", node).applyInPandas(_tree_node(-depth), schema)
+        level = materialize(nodes, "mix-level")
         done, rest = done.unionByName(level.filter(~open_)), level.filter(open_)
-    drawn = done.withColumn("copies", (F.col("low") + F.round("p")).cast("long")).filter("copies > 0")
-    drawn = drawn.select("doc_id", "source", "size", "copies")
-    used = materialize(drawn.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("drawn")), "mix-used")
+    copies = (F.col("low") + F.round("p")).cast("long")
+    drawn = done.select("doc_id", "source", "size", "max_repeat", copies.alias("copies")).filter("copies > 0")
+    used = drawn.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("copies")).alias("drawn"),
+        F.sum("copies").alias("n_drawn"),
+        F.count_if(F.col("copies") >= F.col("max_repeat")).alias("n_full"),
+    )
+    used = materialize(used, "mix-used")
     whole = int(used.agg(F.sum("drawn")).first()[0] or 0)
-    report = plan.join(F.broadcast(used), "source", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)).cast("long"))
-    return drawn, report.select(
-        "source", "weight", "drawn", (F.col("drawn") / F.lit(float(max(1, whole)))).alias("share"), "wanted", "short"
+    report = plan.join(F.broadcast(used), "source", "left")
+    report = report.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("drawn", "n_drawn", "n_full")})
+    every = (F.col("max_repeat") == 0) | (F.col("n_full") == F.col("n_pages"))
+    return drawn.drop("max_repeat"), report.select(
+        "source",
+        "weight",
+        "n_drawn",
+        "drawn",
+        (F.col("drawn") / F.lit(float(max(1, whole)))).alias("share"),
+        "wanted",
+        (every & (F.col("drawn") < F.col("wanted"))).alias("short"),
     )
+
+
+def _tree_node(place: int):
+    return lambda rows: _round(rows.drop(columns="n"), place)

@@ -18,7 +18,7 @@ from .repetition import cutoffs, repeated_share, repetitive_pages
 from .set_joins import expand, link_counts, similar_sets
 
 MIN_TOGETHER, MIN_LIFT = 6, 5
-TOKENIZER = os.environ.get("NESTWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+TOKENIZER = os.environ.get("NESTWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")  # a byte-level BPE of 50,256 tokens
 TOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # the vocabulary's own
 SIMILAR, MIN_SET = Fraction(3, 5), 5
 
@@ -85,12 +85,24 @@ def p7_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_pages(materialize(pages, "token-counts"), get("mix_target"))[0]
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixed_pages(materialize(_sized_pages(spark, sf_dir), "page-sizes"), reader(spark, sf_dir)("mix_target"))
+
+
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed_pages(materialize(_sized_pages(spark, sf_dir), "page-sizes"), reader(spark, sf_dir)("mix_target"))[1]
+    return _mix(spark, sf_dir)[1]
+
+
+def p7_drawn_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target: whether the mix falls short, and whether the pages drawn are as many as are expected, but for less than one."""
+    expected = source_plan(_sized_pages(spark, sf_dir), reader(spark, sf_dir)("mix_target"))
+    expected = expected.select("source", (F.col("copies") * F.col("n_pages")).alias("n"))
+    found = p7_report(spark, sf_dir).join(expected, "source")
+    return found.select("source", "weight", "wanted", "short", (F.abs(F.col("n_drawn") - F.col("n")) < 1 + 1e-9).alias("held"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources that the mix, drawn in words, could not fill; the plan decides that, not the rounding."""
+    """The sources that the mix, drawn in words, did not fill although it used all their pages as often as allowed."""
     return p7_report(spark, sf_dir).filter("short").select("source")
 
 
@@ -117,6 +129,7 @@ QUERIES = {
     "p7_plan": p7_plan,
     "p7_draw": p7_draw,
     "p7_report": p7_report,
+    "p7_drawn_counts": p7_drawn_counts,
     "p8_found": p8_found,
     "p8_shares": p8_shares,
     "p8_cutoffs": p8_cutoffs,
@@ -166,4 +179,5 @@ SQL = {
       select c.p as playlist_id, c.id as set_id, coalesce(k.n, 0) as n_links from c left join k on c.id = k.id""",
     "p7_found": f"select source from ({_P7}) where short",
     "p7_plan": _P7,
+    "p7_drawn_counts": f"select source, weight, wanted, short, true as held from ({_P7.replace('select source,', 'select source, weight,', 1)})",
 }
