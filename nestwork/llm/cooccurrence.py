@@ -56,10 +56,11 @@ def cooccurring_pairs(rows: DataFrame, basket: str, item: str, min_count: int, m
         found = found.groupBy("a", "b").agg(F.sum("w").alias("n_ab"))
     else:
         found = _with_large(found, materialize(collapsed.filter(F.col("n") > LIGHT), "large-baskets"), min_count)
-    found = found.filter(F.col("n_ab") >= min_count)
+    found = materialize(found.filter(F.col("n_ab") >= min_count), "pairs-found")
 
-    n = lambda c, k: counts.select(F.col("it").alias(c), F.col("n_it").alias(k))
-    scored = found.join(n("a", "n_a"), "a").join(n("b", "n_b"), "b")
+    # a frequent item is in many pairs: those meet its count by broadcast
+    of = lambda df, c: lookup(df, keep.select(F.col("it").alias(c), F.col("n_it").alias(f"n_{c}")), c, heavy.select(F.col("it").alias(c)))
+    scored = of(of(found, "a"), "b")
     total = F.lit(n_baskets).cast("decimal(19,0)")
     scored = scored.filter(F.col("n_ab").cast("decimal(19,0)") * total >= F.col("n_a").cast("decimal(19,0)") * F.col("n_b") * min_lift)
     big = lambda c: F.col(c).cast("double")
@@ -101,7 +102,10 @@ def _with_large(light: DataFrame, large: DataFrame, min_count: int) -> DataFrame
 
     lists = last.groupBy("it").agg(F.collect_list(F.struct("bk", "w")).alias("l"), F.sum("w").alias("s"))
     side = lambda x: lists.select(F.col("it").alias(x), F.col("l").alias(f"l{x}"), F.col("s").alias(f"s{x}"))
-    open_ = found.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    # an item's list is one row: pairs of an item in many of them meet it by broadcast
+    often = lambda x: found.groupBy(x).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 500 >= n_found)
+    n_found = found.count()
+    open_ = lookup(lookup(found, side("a"), "a", often("a")), side("b"), "b", often("b"))
     none = F.array().cast("array<struct<bk:bigint,w:bigint>>")
     open_ = open_.withColumn(
         "both",

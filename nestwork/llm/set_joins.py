@@ -1,7 +1,9 @@
 """All pairs of similar sets, by sorted sketch forests and exact verification.
 
 Every tree orders the items of all sets by its own hash; a set's signature in the tree is its items
-in that order. Sets whose signatures begin alike are neighbours. How deep the beginning reaches is
+in that order. Sets whose signatures begin alike are neighbours: they would stand side by side if all
+signatures were sorted, and are brought together by a hash of the common beginning, which needs no
+global sort. How deep the beginning reaches is
 decided by its items alone: it goes on past items that more than ``RARE`` sets hold, up to
 ``DEEPEST``, so that a neighbourhood that ends in a rare item has at most ``RARE`` members. A set
 joins ``TREES`` trees, or as many more as bring the probability that its least likely partner at the
@@ -10,7 +12,8 @@ That number follows from the set's items, not from the trees' orders, so it hold
 Sets for which ``MOST_TREES`` don't suffice (nearly all items they can share are frequent) are
 besides compared on exact prefix tokens, least frequent items first: two such sets that reach the
 threshold share one for certain. Neighbours pass two
-bounds that lose nothing (sizes; 128-bit maps of the items) and are verified on the items.
+bounds that lose nothing (sizes; 128-bit maps of the items) and are verified on the items. A large
+neighbourhood is cut by size bands and into blocks, so no task holds it as a whole.
 
 Identical sets are one set with several members. Sets of more than ``HUGE`` items are never made
 into lists: their minima per tree are aggregated and overlaps counted by joins.
@@ -24,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache, reduce
-from math import inf, log, log1p
+from math import ceil, inf, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,9 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import heavy_keys, lookup
 from ..storage import materialize
-from .pairs import fingerprints, pairs_in_blocks
+from .pairs import BLOCK, fingerprints, pairs_in_blocks
 
-RARE, DEEPEST, TREES, MOST_TREES, MISS, HUGE, HUGE_TREES = 100, 4, 16, 96, 1e-5, 20_000, 24
+RARE, DEEPEST, TREES, MOST_TREES, MISS, HUGE = 100, 4, 16, 96, 1e-5, 20_000
 ENTRY = "key long, id long, n int, b1 long, b2 long"
 
 
@@ -115,7 +118,7 @@ def forest(num: int, den: int, least: int):
             if not on.any():
                 break
             take = np.flatnonzero(on[owner])
-            hashed = mix(item[take], tree + 1)
+            hashed = mix(base[take], tree + 1)
             order = take[np.lexsort((hashed, owner[take]))]
             who = np.flatnonzero(on)
             size = lens[who]
@@ -126,7 +129,7 @@ def forest(num: int, den: int, least: int):
             depth = np.minimum(np.minimum(ends + 1, DEEPEST), size)
             inside = at < np.repeat(depth, size)
             with np.errstate(over="ignore"):
-                key = np.add.reduceat(np.where(inside, mix(item[order], tree + 1), np.uint64(0)), first)
+                key = np.add.reduceat(np.where(inside, mix(base[order], tree + 1), np.uint64(0)), first)
             alone = np.minimum.reduceat(np.where(inside, ranked, 9), first) == 0
             send = ~alone
             yield out(mix(key[send], 1000 + tree), who[send])
@@ -182,15 +185,27 @@ def similar_sets(rows: DataFrame, record: str, item: str, threshold: Fraction, m
 
 def _neighbours(lists: DataFrame, num: int, den: int, least: int) -> DataFrame:
     """Distinct pairs ``id_a < id_b`` of sets that some tree makes neighbours and the bounds let pass."""
-    e = lists.mapInArrow(forest(num, den, least), ENTRY)
-    a = e.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "b1", "b2")))
-    b = e.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "b1", "b2")))
+    e = materialize(lists.mapInArrow(forest(num, den, least), ENTRY), "forest")
+    # bands of sizes by powers of the threshold: partners are in the same band or in the next
+    band = F.floor(F.ln(F.col("n")) / log(den / num) + 1e-9).cast("int") if num < den else F.col("n")
+    e = e.withColumn("band", band)
+    crowds = e.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 2 * BLOCK)
+    crowds = materialize(crowds, "crowds")
     only = lambda x, y: sum((F.bit_count(F.col(f"b{i}_{x}").bitwiseAND(F.bitwise_not(f"b{i}_{y}"))) for i in (1, 2)), F.lit(0))
     most = F.least(F.col("n_a") - only("a", "b"), F.col("n_b") - only("b", "a"))
     near = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-    pairs = a.join(b, "key").filter((F.col("id_a") < F.col("id_b")) & near)
-    pairs = pairs.filter(most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
-    return pairs.select("id_a", "id_b").distinct()
+    enough = near & (most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
+    side = lambda df, x, *keys: df.select(*keys, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "b1", "b2")))
+    few = e.join(crowds, "key", "left_anti") if (crowded := not crowds.isEmpty()) else e
+    pairs = side(few, "a", "key").join(side(few, "b", "key"), "key").filter((F.col("id_a") < F.col("id_b")) & enough).select("id_a", "id_b")
+    if crowded:
+        many = e.join(crowds, "key")
+        k = F.ceil(F.col("c") / BLOCK).cast("int")
+        a = side(many.withColumn("block", F.pmod(F.xxhash64("id"), k).cast("int")), "a", "key", "band", "block")
+        b = many.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).withColumn("block", F.explode(F.sequence(F.lit(0), k - 1)))
+        met = a.join(side(b, "b", "key", "band", "block"), ["key", "band", "block"]).filter((F.col("id_a") != F.col("id_b")) & enough)
+        pairs = pairs.unionByName(met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")))
+    return pairs.distinct()
 
 
 def _verified(pairs: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -205,10 +220,11 @@ def _verified(pairs: DataFrame, lists: DataFrame, num: int, den: int) -> DataFra
 def _huge(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Links between sets too large for lists: minima per tree by aggregation, overlap by joins.
 
-    A tree of depth one misses a pair at the threshold t with 1 - t; ``HUGE_TREES`` miss it with
-    less than 1e-9 at 0.6. There are at most as many such sets as rows / ``HUGE``.
+    A tree of depth one misses a pair at the threshold t with 1 - t; as many are made as miss it with
+    less than ``MISS`` in all. There are at most as many such sets as rows / ``HUGE``.
     """
-    trees = F.array(*(F.xxhash64(F.lit(t), F.col("it")) for t in range(HUGE_TREES)))
+    n_trees = 1 if num >= den else ceil(log(MISS) / log1p(-num / den))
+    trees = F.array(*(F.xxhash64(F.lit(t), F.col("it")) for t in range(n_trees)))
     low = rows.select("id", "n", F.posexplode(trees).alias("tree", "h")).groupBy("id", "n", "tree").agg(F.min("h").alias("h"))
     low = materialize(low, "huge-minima")
     a = low.select("tree", "h", F.col("id").alias("id_a"), F.col("n").alias("n_a"))
@@ -225,9 +241,21 @@ def _huge(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def expand(links: DataFrame, membership: DataFrame) -> DataFrame:
-    """All pairs ``rec_a < rec_b`` of records: members of linked sets, and members of the same set."""
-    of = lambda x: membership.select(F.col("id").alias(f"id_{x}"), F.col("rec").alias(f"rec_{x}"))
-    both = links.join(of("a"), "id_a", "left").join(of("b"), "id_b", "left")
+    """All pairs ``rec_a < rec_b`` of records: members of linked sets, and members of the same set.
+
+    The members of a set are cut into blocks of about ``BLOCK``, and a link meets each pair of blocks on its own.
+    """
+    k = F.greatest(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("int")
+    parted = membership.select("id", "rec", F.pmod(F.xxhash64("rec"), k).cast("int").alias("part"))
+    parts = membership.groupBy("id").agg(F.first(k).alias("k"))
+
+    def members(rows: DataFrame, x: str) -> DataFrame:
+        n = parts.select(F.col("id").alias(f"id_{x}"), "k")
+        of = parted.select(F.col("id").alias(f"id_{x}"), "part", F.col("rec").alias(f"rec_{x}"))
+        asked = rows.join(n, f"id_{x}", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
+        return asked.drop("k").join(of, [f"id_{x}", "part"], "left").drop("part")
+
+    both = members(members(links.select("id_a", "id_b"), "a"), "b")
     a, b = F.coalesce("rec_a", "id_a"), F.coalesce("rec_b", "id_b")
     across = both.select(F.least(a, b).alias("rec_a"), F.greatest(a, b).alias("rec_b"))
     same = pairs_in_blocks(membership, "id", "rec", F.col("members"), "rec_a", "rec_b").select("rec_a", "rec_b")

@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from nestwork.llm import set_joins
@@ -97,6 +98,33 @@ def test_a_third_are_copies(spark):
     assert links.count() < 300  # copies aren't expanded there
 
 
+def test_crowded_neighbourhoods(spark, monkeypatch):
+    """Large neighbourhoods and large classes are cut into blocks; the pairs stay the same."""
+    monkeypatch.setattr(set_joins, "BLOCK", 4)
+    monkeypatch.setattr(set_joins, "RARE", 1)
+    sets = families(11, 80, 25, (5, 12)) | {10_000 + i: {1, 2, 3, 4, 5} for i in range(30)} | {20_000 + i: {1, 2, 3, 4, 5, 6} for i in range(13)}
+    for t in (Fraction(3, 5), Fraction(1)):
+        assert joined(spark, sets, 5, t)[0] == brute(sets, 5, t)
+
+
+@pytest.mark.parametrize("num,den,both,own", [(3, 10, 6, 7), (1, 2, 6, 3), (3, 5, 9, 3), (4, 5, 16, 2)])
+@pytest.mark.parametrize("rank", [0, 1])
+def test_recall_of_frequent_shared_and_rare_own_items(num, den, both, own, rank):
+    """Pairs exactly at the threshold that share frequent items only and have unique (0) or rare (1) ones of their own."""
+    r = random.Random(12)
+    new, lists = iter(range(10**6, 10**7)), []
+    for _ in range(1500):
+        common = r.sample(range(500), both)
+        lists += [[{"it": x, "rank": 200 + x} for x in common] + [{"it": next(new), "rank": rank} for _ in range(own)] for _ in "ab"]
+    ids, kind = pa.array(range(len(lists)), pa.int64()), pa.list_(pa.struct([("it", pa.int64()), ("rank", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array([both + own] * len(lists), pa.int32()), pa.array(lists, kind)], ["id", "n", "items"])
+    met = {}
+    for out in set_joins.forest(num, den, 5)(iter([batch])):
+        for key, who in zip(out.column("key").to_pylist(), out.column("id").to_pylist()):
+            met.setdefault((who // 2, key), set()).add(who)
+    assert len({pair for (pair, _), who in met.items() if len(who) == 2}) >= 1499
+
+
 def test_nothing(spark):
     assert joined(spark, {})[0] == []
     assert joined(spark, {1: {1, 2}, 2: {1, 2}})[0] == []
