@@ -281,10 +281,20 @@ def change_detection(spark: SparkSession, d: str) -> DataFrame:
     """Events whose type differs from the user's event before; ids and times are ignored."""
     changes = _events(spark, d)
     dtype = changes.schema["value"].dataType
-    rule = Filter(lambda entity, new, old: F.when(is_equal(new, old, dtype, ["event_id", "ts"]), SKIP), uses_old=True)
+    rule = Filter(lambda entity, new, old: F.when(is_equal(new, old, dtype, ["event_id", "ts"]), SKIP), uses_old=True, equality=True)
     return with_modes(changes, "events", rule).filter(F.col("mode") == UPDATE).select("value.event_id")
 
 
+def filter_last_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of a media title that come after the last kept one in the alphabet; the others are skipped, deletes start anew."""
+    log = reader(spark, d)("media")
+    dead = F.coalesce(F.lower(F.trim("op")).startswith("d"), F.lit(True))
+    once = log.groupBy("id", "change_seq").agg(F.min(dead).alias("gone"), F.min(F.coalesce("title", F.lit(""))).alias("title"))
+    changes = as_changes(once, ["id"], F.col("change_seq"), F.col("gone"), drop=["gone"])
+    rule = Filter(lambda entity, new, old: F.when(new["title"] <= old["title"], SKIP), uses_old=True)
+    return with_modes(changes, "media", rule).select("key.id", "seq", "mode")
+
+
 # -- indices and propagation
 
 
@@ -510,7 +520,7 @@ QUERIES = {
         nested_orders_lineitem, nested_customer_nation_region, nested_part_orders, null_parent_key_states, empty_children,
         dangling_children, root_tombstones, multi_root, repeated_entity, child_order_bytes, denormalized_playlists,
         denormalized_media, denormalized_players, denormalized_json, latest_by_key, latest_with_tombstones, filter_skip,
-        filter_mode_counts, change_detection, join_index_forward, join_index_reverse, parent_index, parent_index_scrub,
+        filter_mode_counts, change_detection, filter_last_kept, join_index_forward, join_index_reverse, parent_index, parent_index_scrub,
         verify_index, affected_roots, incremental_equals_full, key_encoding_int, key_encoding_string, key_encoding_boolean,
         key_encoding_composite, keyset_operations, keyset_rows_union, keyset_rows_minus,
         keyset_whole_union, keyset_whole_minus, keyset_whole_minus_back, queue_priorities, queue_drain,
@@ -575,6 +585,12 @@ SQL = {
     "filter_mode_counts": "select case event_type when 'view' then 'SKIP' when 'error' then 'DELETE' else 'UPDATE' end as mode, count(*) as n from events group by 1",
     "change_detection": """select event_id from (select *, lag(event_type) over (partition by user_id order by ts) as p,
         row_number() over (partition by user_id order by ts) as r from events) where r = 1 or p is distinct from event_type""",
+    "filter_last_kept": """with recursive c as (select id, change_seq, bool_and(op is null or lower(trim(op)) like 'd%') as gone, min(coalesce(title, '')) as title,
+        row_number() over (partition by id order by change_seq) as n from media group by id, change_seq),
+      f as (select id, change_seq, n, case when gone then 'DELETE' else 'UPDATE' end as mode, case when not gone then title end as kept from c where n = 1
+        union all select c.id, c.change_seq, c.n, case when c.gone then 'DELETE' when c.title <= f.kept then 'SKIP' else 'UPDATE' end,
+          case when c.gone then null when c.title <= f.kept then f.kept else c.title end from f join c on c.id is not distinct from f.id and c.n = f.n + 1)
+      select id, change_seq as seq, mode from f""",
     "join_index_forward": f"""select 'JK|orders|o_custkey' as index, {_hex('o_custkey')} as fk, string_agg(h, ',' order by h) as pks
       from (select o_custkey, {_hex('o_orderkey')} as h from orders) group by o_custkey""",
     "join_index_reverse": f"select 'JK|orders|o_custkey' as index, {_hex('o_orderkey')} as pk, {_hex('o_custkey')} as fks from orders",

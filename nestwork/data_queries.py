@@ -19,6 +19,11 @@ REFERENCES = [
     Reference("playlist_tag", ("playlist_id", "user_tag_id"), "playlist_id", "user_tag_id", "user_tag", "id"),
 ]
 LOG_KEYS = {"playlist": "id", "playlist_media": "id", "users": "user_id"}
+LOG_FIELDS = {
+    "playlist": ["active", "user_id", "type", "title"],
+    "playlist_media": ["playlist_id", "pos", "media_id"],
+    "users": ["user_name", "email", "usage_type"],
+}
 HEAVY_SHARE = 0.02
 
 
@@ -36,9 +41,10 @@ def p2_orphan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole records are rebuilt in the merge tables; keys and deciding changes of the live ones are reported."""
     get = reader(spark, sf_dir)
     parts = [
-        from_log(get(t), [k])
+        from_log(get(t), [k], LOG_FIELDS[t])
         .read()
         .select(F.lit(t).alias("tab"), F.col(k).cast("long").alias("rec_id"), F.col("change_seq").cast("long").alias("change_seq"))
         for t, k in LOG_KEYS.items()
@@ -49,7 +55,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_playlist_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole current records of ``playlist``, delivered by time of arrival, with compactions between the batches."""
     log = reader(spark, sf_dir)("playlist")
-    return from_log(log, ["id"], ["active", "user_id", "type", "title"], runs=8, max_runs=3).read()
+    return from_log(log, ["id"], LOG_FIELDS["playlist"], runs=8, max_runs=3).read()
+
+
+def p3_entry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole current entries, in the order of arrival in ten batches, compacted after every other one."""
+    log = reader(spark, sf_dir)("playlist_media")
+    return from_log(log, ["id"], LOG_FIELDS["playlist_media"], runs=10, max_runs=2).read()
 
 
 def _p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +100,7 @@ QUERIES = {
     "p2_orphan_counts": p2_orphan_counts,
     "p3_found": p3_found,
     "p3_playlist_state": p3_playlist_state,
+    "p3_entry_state": p3_entry_state,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p4_owner_rollup": p4_owner_rollup,
@@ -133,6 +146,7 @@ SQL = {
         f"select '{t}' as tab, {k} as rec_id, change_seq from ({state_sql(t, k, 'op')})" for t, k in LOG_KEYS.items()
     ),
     "p3_playlist_state": f"select id, change_seq, active, user_id, type, title from ({state_sql('playlist', 'id', 'active, user_id, type, title')})",
+    "p3_entry_state": f"select id, change_seq, playlist_id, pos, media_id from ({state_sql('playlist_media', 'id', 'playlist_id, pos, media_id')})",
     "p4_found": f"select tab, key_id from ({_P4}) where n * 50 >= total",
     "p4_counts": _P4,
     "p4_owner_rollup": f"""select p.user_id, count(distinct p.id) as n_playlists, count(*) as n_entries, sum(m.pos)::bigint as sum_pos

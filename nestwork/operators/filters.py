@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import materialize
+
 UPDATE, SKIP, DELETE = "UPDATE", "SKIP", "DELETE"
 MODES = (UPDATE, SKIP, DELETE)
 
@@ -25,15 +27,19 @@ Fold = Callable[[str, dict, dict | None], str | None]
 
 @dataclass(frozen=True)
 class Filter:
-    """``rule`` refines the default; ``uses_old`` makes the previous version available to it.
+    """``rule`` refines the default; ``uses_old`` gives it the last version that was kept (null at first
+    and after a delete).
 
+    ``equality`` declares that a version which the rule skips is as good as the kept one for it, as
+    where unchanged versions are skipped: then the version just before is taken, in one pass.
     ``fold`` is for rules that no expression can say: Python code that sees each change of a key in
-    order with the last version that was kept (null at first and after a delete).
+    order with the last kept version. ``config`` holds the topic's settings for rules that ask for them.
     """
 
     rule: Rule | None = None
     uses_old: bool = False
     fold: Fold | None = None
+    equality: bool = False
     config: Mapping[str, str] = field(default_factory=dict)
 
     def mode(self, entity: str, value: Column, old: Column) -> Column:
@@ -52,7 +58,7 @@ def is_equal(new: Column, old: Column, dtype: T.StructType, ignored: Sequence[st
 
 def skip_unchanged(dtype: T.StructType, ignored: Sequence[str] = ()) -> Filter:
     """Skips versions equal to the previous kept one, but for ignored fields."""
-    return Filter(lambda _, new, old: F.when(is_equal(new, old, dtype, ignored), SKIP), uses_old=True)
+    return Filter(lambda _, new, old: F.when(is_equal(new, old, dtype, ignored), SKIP), uses_old=True, equality=True)
 
 
 def with_modes(
@@ -60,24 +66,40 @@ def with_modes(
 ) -> DataFrame:
     """``changes`` with a column ``mode``.
 
-    ``old`` (``pk``, ``value``) holds the versions before these changes. For a rule that uses the old
-    version, each change is held against its immediate predecessor: for rules that skip what is
-    unchanged this equals the last kept version, as a skipped version equals it.
+    ``old`` (``pk``, ``value``) holds the versions before these changes. A rule that uses the old
+    version is first held against each change's immediate predecessor. That decides a rule that
+    declares ``equality``; for any other the last kept version according to these modes is taken and
+    the rule held against that, until no mode changes. Each round is right for at least one more change
+    of every key, so the end is exact; a rule that needs many rounds is better given as ``fold``.
     """
     if rules.fold:
         return _folded(changes, entity, rules.fold, pk, seq, value, old)
     if not rules.uses_old:
         none = F.lit(None).cast(changes.schema[value].dataType)
         return changes.withColumn("mode", rules.mode(entity, F.col(value), none))
-    before = F.lag(value).over(Window.partitionBy(pk).orderBy(seq))
-    with_old = changes.withColumn("_old", before)
+    order = Window.partitionBy(pk).orderBy(seq)
+    dtype = changes.schema[value].dataType
+    known = F.lit(None).cast(dtype)
+    rows = changes
     if old is not None:
-        nth = F.row_number().over(Window.partitionBy(pk).orderBy(seq))
-        with_old = with_old.withColumn("_n", nth)
-        known = old.select(F.col(pk), F.col(value).alias("_known"))
-        with_old = with_old.join(known, pk, "left")
-        with_old = with_old.withColumn("_old", F.when(F.col("_n") == 1, F.col("_known")).otherwise(F.col("_old"))).drop("_n", "_known")
-    return with_old.withColumn("mode", rules.mode(entity, F.col(value), F.col("_old"))).drop("_old")
+        rows = rows.join(old.select(F.col(pk), F.col(value).cast(dtype).alias("_known")), pk, "left")
+        known = F.col("_known")
+    before = F.when(F.row_number().over(order) == 1, known).otherwise(F.lag(value).over(order))
+    moded = rows.withColumn("_old", before).withColumn("mode", rules.mode(entity, F.col(value), F.col("_old")))
+    if rules.equality:
+        return moded.select(*changes.columns, "mode")
+    # copies of a change have a fixed order, so that rounds agree
+    moded = materialize(moded.select(*rows.columns, "mode", F.monotonically_increasing_id().alias("_n")), "modes")
+    upto = Window.partitionBy(pk).orderBy(seq, "_n").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        kept = F.when(F.col("mode") == UPDATE, F.col(value))
+        last = F.last(F.when(F.col("mode") != SKIP, F.struct(kept.alias("v"))), ignorenulls=True).over(upto)
+        again = moded.withColumn("_last", last).withColumn("_old", F.when(F.col("_last").isNull(), known).otherwise(F.col("_last")["v"]))
+        again = again.withColumn("_mode", rules.mode(entity, F.col(value), F.col("_old")))
+        again = materialize(again.select(*rows.columns, "mode", "_mode", "_n"), "modes")
+        if again.filter(F.col("mode") != F.col("_mode")).isEmpty():
+            return again.select(*changes.columns, "mode")
+        moded = again.drop("mode").withColumnRenamed("_mode", "mode")
 
 
 def _folded(changes: DataFrame, entity: str, fold: Fold, pk: str, seq: str, value: str, old: DataFrame | None) -> DataFrame:

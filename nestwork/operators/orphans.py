@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .changelog import deciding_change, is_delete
-from .skew import heavy_keys, lookup
+from .skew import HEAVY_PARTS, lookup
 
 
 @dataclass(frozen=True)
@@ -56,29 +56,62 @@ def target_summary(log: DataFrame, key: str, gone: str | None) -> DataFrame:
 
 
 def live_references(log: DataFrame, r: Reference) -> DataFrame:
-    """The live records of ``log`` that refer to something: ``rec_id, ref_id, ts, first_arrival``."""
+    """The live records of ``log`` that refer to something: ``rec_id, ref_id, period, first_arrival``."""
     state = deciding_change(
         log,
         {f"key{i}": F.col(k) for i, k in enumerate(r.keys)},
         {"rec_id": F.col(r.rec_id), "ref_id": F.col(r.ref), "ts": F.col("ts")},
         arrived="arrived_at",
     )
-    return state.filter(~F.col("is_deleted") & F.col("ref_id").isNotNull()).select("rec_id", "ref_id", "ts", "first_arrival")
+    state = state.filter(~F.col("is_deleted") & F.col("ref_id").isNotNull())
+    return state.select("rec_id", "ref_id", month_utc(F.col("ts")).alias("period"), "first_arrival")
+
+
+@dataclass(frozen=True)
+class Suspects:
+    """What :func:`suspects` finds of one reference."""
+
+    live: DataFrame  # rec_id, ref_id, period, first_arrival of every live reference
+    heavy: DataFrame  # ref_id: frequent keys, at most skew.HEAVY_PARTS
+    states: DataFrame  # ref_id, period, all, arrived, low, high, live, first_seen of those that may be at fault
+
+
+def suspects(tables: dict[str, DataFrame], r: Reference) -> Suspects:
+    """References combined per key and period, without those that cannot be at fault.
+
+    A state is a count and the bounds of the first arrivals. It is sound if its target is live and was
+    there before the first of them. Heavy keys' states meet the sound targets by broadcast, all others
+    by a shuffled anti-join; what is left of both is united. No single reference is shuffled by its key.
+    """
+    live = materialize(live_references(tables[r.table], r), "live-references")
+    states = live.groupBy("ref_id", "period").agg(
+        F.count(F.lit(1)).alias("all"),
+        F.count("first_arrival").alias("arrived"),
+        F.min("first_arrival").alias("low"),
+        F.max("first_arrival").alias("high"),
+    )
+    states = materialize(states, "reference-states")
+    targets = materialize(target_summary(tables[r.target], r.target_key, r.gone), "reference-targets")
+    heavy = states.groupBy("ref_id").agg(F.sum("all").alias("n")).filter(F.col("n") * HEAVY_PARTS >= live.count()).select("ref_id")
+    few = materialize(heavy, "heavy-references")
+    sound = targets.filter("live").select(F.col("ref_id").alias("_id"), F.col("first_seen").alias("_seen"))
+    there = (F.col("ref_id") == F.col("_id")) & ~F.coalesce(F.col("_seen") > F.col("low"), F.lit(False))
+    of_few = sound.join(F.broadcast(few).withColumnRenamed("ref_id", "_id"), "_id", "left_semi")
+    left = states.join(F.broadcast(few), "ref_id", "left_semi").join(F.broadcast(of_few), there, "left_anti")
+    left = left.unionByName(states.join(F.broadcast(few), "ref_id", "left_anti").join(sound, there, "left_anti"))
+    return Suspects(live, few, materialize(left.join(targets, "ref_id", "left"), "suspects"))
 
 
 def orphan_references(tables: dict[str, DataFrame], refs: list[Reference]) -> DataFrame:
     """Every reference at fault: ``tab, rec_id, ref_id, fault, period``.
 
-    Per reference: counts per key of the delivered rows, combined before their shuffle, name the
-    heavy keys (at most ``skew.HEAVY_PARTS``); these are checked by broadcast, the rest by a shuffled
-    join, and both are put together.
+    Only the keys of :func:`suspects` are joined back to their records, heavy ones by broadcast.
     """
 
     def one(r: Reference) -> DataFrame:
-        log = tables[r.table]
-        live = live_references(log, r)
-        heavy = heavy_keys(log.select(F.col(r.ref).alias("ref_id")), "ref_id")
-        seen = lookup(live, target_summary(tables[r.target], r.target_key, r.gone), "ref_id", heavy)
+        s = suspects(tables, r)
+        keys = materialize(s.states.select("ref_id", "live", "first_seen").distinct(), "suspect-keys")
+        seen = lookup(s.live, keys, "ref_id", s.heavy, how="inner")
         fault = (
             F.when(F.col("live").isNull(), "missing")
             .when(~F.col("live"), "deleted")
@@ -90,7 +123,7 @@ def orphan_references(tables: dict[str, DataFrame], refs: list[Reference]) -> Da
                 F.col("rec_id").cast("long").alias("rec_id"),
                 F.col("ref_id").cast("long").alias("ref_id"),
                 fault.alias("fault"),
-                month_utc(F.col("ts")).alias("period"),
+                "period",
             )
         ).filter(F.col("fault").isNotNull())
 
@@ -106,29 +139,22 @@ def orphan_counts(found: DataFrame) -> DataFrame:
 
 
 def orphan_totals(tables: dict[str, DataFrame], refs: list[Reference]) -> DataFrame:
-    """As :func:`orphan_counts` of :func:`orphan_references`, aggregated before the lookup.
+    """As :func:`orphan_counts` of :func:`orphan_references`, from the states of :func:`suspects`.
 
-    Live references are combined per key and period into a count and the bounds of their first
-    arrivals, so a heavy key is one row per period when it meets the target. Only where a target's
-    first insert falls between the bounds are the single references counted; both counts are united.
+    Only where a target's first insert falls between the bounds of a state are the single references
+    counted; both counts are united.
     """
 
     def one(r: Reference) -> DataFrame:
-        live = live_references(tables[r.table], r).select("ref_id", month_utc(F.col("ts")).alias("period"), "first_arrival")
-        live = materialize(live, "live-references")
-        states = live.groupBy("ref_id", "period").agg(
-            F.count(F.lit(1)).alias("all"),
-            F.count("first_arrival").alias("arrived"),
-            F.min("first_arrival").alias("low"),
-            F.max("first_arrival").alias("high"),
-        )
-        seen = materialize(states.join(target_summary(tables[r.target], r.target_key, r.gone), "ref_id", "left"), "orphan-states")
-        gone = seen.filter(F.col("live").isNull() | ~F.col("live"))
+        s = suspects(tables, r)
+        gone = s.states.filter(F.col("live").isNull() | ~F.col("live"))
         fault = F.when(F.col("live").isNull(), "missing").otherwise("deleted")
-        late = seen.filter(F.col("live") & (F.col("first_seen") > F.col("low")))
+        late = s.states.filter("live")
         whole = late.filter(F.col("first_seen") > F.col("high"))
-        split = late.filter(F.col("first_seen") <= F.col("high")).select("ref_id", "period", "first_seen")
-        some = live.join(split, ["ref_id", "period"]).filter(F.col("first_seen") > F.col("first_arrival"))
+        split = late.filter(F.col("first_seen") <= F.col("high")).select("ref_id", "first_seen").distinct()
+        some = lookup(s.live, split, "ref_id", s.heavy, how="inner").filter(F.col("first_seen") > F.col("first_arrival"))
+        # a key may be late as a whole in one period and in part in another
+        some = some.join(late.filter(F.col("first_seen") <= F.col("high")).select("ref_id", "period"), ["ref_id", "period"], "left_semi")
         parts = [
             gone.select("ref_id", "period", fault.alias("fault"), F.col("all").alias("n")),
             whole.select("ref_id", "period", F.lit("late").alias("fault"), F.col("arrived").alias("n")),

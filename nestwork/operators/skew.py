@@ -7,7 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 HEAVY_PARTS = 2000  # a key is heavy from 1/HEAVY_PARTS of the rows on, so there are no more heavy keys than that
+FEW = 10_000  # compact states of no more rows are broadcast
+SPREAD = 1_000_000  # a join key that makes more rows of compact states is divided
 
 
 def heavy_keys(rows: DataFrame, key: str, total: int | None = None, parts: int = HEAVY_PARTS) -> DataFrame:
@@ -20,8 +24,8 @@ def heavy_keys(rows: DataFrame, key: str, total: int | None = None, parts: int =
     return counts.filter(F.col("n") * parts >= total)
 
 
-def lookup(facts: DataFrame, dim: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
-    """``facts`` left-joined to ``dim`` (one row per ``key``), in two parts that are put together.
+def lookup(facts: DataFrame, dim: DataFrame, key: str, heavy: DataFrame, how: str = "left") -> DataFrame:
+    """``facts`` left-joined (or as ``how`` says: ``inner``) to ``dim`` (one row per ``key``), in two parts that are put together.
 
     Rows of heavy keys meet the dimension's rows of those keys by broadcast, which
     :func:`heavy_keys` bounds to ``HEAVY_PARTS`` rows; they are never shuffled. All other rows are
@@ -30,9 +34,9 @@ def lookup(facts: DataFrame, dim: DataFrame, key: str, heavy: DataFrame) -> Data
     """
     few = heavy.select(key)
     hot = facts.join(F.broadcast(few), key, "left_semi").join(
-        F.broadcast(dim.join(F.broadcast(few), key, "left_semi")), key, "left"
+        F.broadcast(dim.join(F.broadcast(few), key, "left_semi")), key, how
     )
-    rest = facts.join(F.broadcast(few), key, "left_anti").join(dim, key, "left")
+    rest = facts.join(F.broadcast(few), key, "left_anti").join(dim, key, how)
     return hot.unionByName(rest)
 
 
@@ -44,7 +48,6 @@ def eager_join_aggregate(
     right_by: Sequence[str] = (),
     left_sums: Mapping[str, Column] | None = None,
     right_sums: Mapping[str, Column] | None = None,
-    few_right: bool = False,
 ) -> DataFrame:
     """Aggregate of ``left`` joined to ``right`` on ``on`` without making the joined rows.
 
@@ -52,8 +55,10 @@ def eager_join_aggregate(
     counts multiplied (a left sum counts once for every right row and the other way round), then
     rolled up to ``left_by + right_by``. Result: the group columns, ``n_left`` and ``n_right`` (rows
     of either side that have a partner in the other's group), ``n_pairs`` (joined rows) and the sums.
-    ``few_right`` states that the right side has few distinct keys and groups by its nature (names of
-    tables, say): its compact state is then broadcast, and a key that all left rows share does no harm.
+    Where groups are finer than ``on``, a join key may have many on either side: a right state of at
+    most ``FEW`` rows is broadcast after counting it, otherwise keys that make more than ``SPREAD`` rows
+    are divided, the left groups into parts and the right ones copied to each. A table joined with
+    itself is read once, its coarser state made from the finer one.
 
     Null ``on`` values join nothing; null group values are a group; null summands count as absent
     (a sum of nothing but nulls is null). An empty side gives an empty result. ``n_pairs`` is a
@@ -73,9 +78,17 @@ def eager_join_aggregate(
         )
 
     a = compact(left, left_by, left_sums, "n_left")
-    b = compact(right, right_by, right_sums, "n_right")
     big = "decimal(38,0)"
-    both = a.join(F.broadcast(b) if few_right else b, list(on))
+    if set(left_by) | set(right_by) <= set(on):
+        both = a.join(compact(right, right_by, right_sums, "n_right"), list(on))
+    else:
+        a = materialize(a, "left-state")
+        if left is right and not right_sums and set(right_by) <= {*on, *left_by}:
+            b = a.groupBy(*dict.fromkeys([*on, *right_by])).agg(F.sum("n_left").alias("n_right"))
+        else:
+            b = compact(right, right_by, right_sums, "n_right")
+        b = materialize(b, "right-state")
+        both = a.join(F.broadcast(b), list(on)) if b.limit(FEW + 1).count() <= FEW else _divided_join(a, b, list(on))
     n = F.col("n_left").cast(big) * F.col("n_right").cast("decimal(19,0)")
     sums = [F.sum(F.col(k) * F.col("n_right")).alias(k) for k in left_sums]
     sums += [F.sum(F.col(k) * F.col("n_left")).alias(k) for k in right_sums]
@@ -85,13 +98,27 @@ def eager_join_aggregate(
     )
 
 
+def _divided_join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """``a`` joined to ``b``; keys that make more than ``SPREAD`` rows are divided by a hash of the left row."""
+    n = lambda df, c: df.groupBy(*on).agg(F.count(F.lit(1)).alias(c))
+    made = F.col("_a").cast("decimal(38,0)") * F.col("_b")
+    hot = n(a, "_a").join(n(b, "_b"), on).filter(made > SPREAD)
+    hot = hot.select(*on, F.least(F.ceil(made / SPREAD), F.col("_a")).cast("int").alias("_k"))
+    hot = materialize(hot, "hot-states")
+    if hot.isEmpty():
+        return a.join(b, on)
+    left = a.join(hot, on).withColumn("_part", F.pmod(F.xxhash64(*a.columns), F.col("_k")).cast("int")).drop("_k")
+    right = b.join(hot, on).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
+    return left.join(right, [*on, "_part"]).drop("_part").unionByName(a.join(hot, on, "left_anti").join(b, on))
+
+
 def key_counts(rows: DataFrame, within: str, key: str) -> DataFrame:
     """Rows per ``key`` inside each ``within`` and their share of it: ``within, key, n, total``.
 
-    The join is a table with itself on ``within``, which has few values: eagerly aggregated, one side is the counts per key
-    and the other one total per ``within``, so no row meets another. Null keys are left out.
+    The join is a table with itself on ``within``: eagerly aggregated, one side is the counts per key and the other one total
+    per ``within``, made from these counts. Null keys are left out.
     """
     have = rows.filter(F.col(key).isNotNull())
-    return eager_join_aggregate(have, have, [within], left_by=[within, key], few_right=True).select(
+    return eager_join_aggregate(have, have, [within], left_by=[within, key]).select(
         within, key, F.col("n_left").alias("n"), F.col("n_right").alias("total")
     )

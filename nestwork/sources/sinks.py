@@ -5,7 +5,9 @@ Keys are bytes, values JSON text, null for a root that is gone.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Mapping
+from typing import TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +41,14 @@ def latest_documents(df: DataFrame) -> DataFrame:
     return best.select("key", "c.value").filter(F.col("value").isNotNull())
 
 
-def console_sink(show: int = 20) -> Callable[[str, DataFrame, int], None]:
-    """Prints the first rows with a readable key."""
+def console_sink(out: TextIO | None = None) -> Callable[[str, DataFrame, int], None]:
+    """Prints every document with a readable key, fetched one task's rows at a time."""
 
     def write(name: str, docs: DataFrame, batch_id: int) -> None:
-        print(f"-- {name}, batch {batch_id}")
-        docs.select(F.hex("key").alias("key"), "value").show(show, truncate=False)
+        to = out or sys.stdout
+        print(f"-- {name}, batch {batch_id}", file=to)
+        for r in docs.select(F.hex("key").alias("key"), "value").toLocalIterator():
+            print(f"{r.key}\t{'DELETE' if r.value is None else 'UPDATE'}\t{r.value}", file=to)
 
     return write
 

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, list[str]] = {}
+_statements: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,6 +40,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def on_cleanup(spark: SparkSession, statement: str) -> None:
+    """Run an SQL statement before the files are removed (a table's name ends with its files)."""
+    _statements.setdefault(spark.sparkContext.applicationId, []).append(statement)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back, with its real size known."""
     spark = df.sparkSession
@@ -62,6 +68,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def cleanup(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application; results read from them are gone too."""
     try:
+        for statement in _statements.pop(spark.sparkContext.applicationId, []):
+            spark.sql(statement)
         for path in _written.pop(spark.sparkContext.applicationId, []):
             remove(spark, path)
     except Exception:  # the context has stopped already; its shared folder is cleaned by its owner

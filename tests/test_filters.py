@@ -61,3 +61,17 @@ def test_fold_sees_the_last_kept_version(spark, rows):
     got = rows(with_modes(df, "e", Filter(fold=rising), old=old), F.decode("pk", "UTF-8"), "seq", "mode")
     assert got == [("1", 1, SKIP), ("1", 2, UPDATE), ("1", 3, SKIP), ("1", 4, DELETE), ("1", 5, UPDATE), ("2", 1, UPDATE), ("2", 2, DELETE)]
     assert rows(latest(df, "e", Filter(fold=rising)), "value.id", "value.b") == [(1, 1)]
+
+
+def test_rules_get_the_last_kept_version(spark, rows):
+    """As an expression: held against the last kept version, not the one before; also with copies of a change."""
+    rule = Filter(lambda entity, new, old: F.when(new["b"] == 99, DELETE).when(new["b"] <= old["b"], SKIP), uses_old=True)
+    df = made(spark, [(1, i, (1, "x", b)) for i, b in enumerate([1, 5, 3, 4, 99, 2, 9, 3, 4, 5, 6, 10])] + [(2, 1, (2, "x", 7)), (2, 1, (2, "x", 7)), (3, 0, None)])
+    got = rows(with_modes(df, "e", rule).filter(F.decode("pk", "UTF-8") == "1"), "seq", "mode")
+    want = [UPDATE, UPDATE, SKIP, SKIP, DELETE, UPDATE, UPDATE, SKIP, SKIP, SKIP, SKIP, UPDATE]
+    assert sorted(got) == list(enumerate(want))
+    assert sorted(r.mode for r in with_modes(df, "e", rule).filter(F.decode("pk", "UTF-8") == "2").collect()) == [SKIP, UPDATE]
+    old = made(spark, [(1, 0, (1, "x", 4)), (2, 0, (2, "x", 8))]).select("pk", "value")
+    got = rows(with_modes(df, "e", rule, old=old).filter("seq < 3"), F.decode("pk", "UTF-8"), "seq", "mode")
+    assert got == sorted([("1", 0, SKIP), ("1", 1, UPDATE), ("1", 2, SKIP), ("2", 1, SKIP), ("2", 1, SKIP), ("3", 0, DELETE)])
+    assert rows(with_modes(df.limit(0), "e", rule)) == []

@@ -28,6 +28,15 @@ def test_what_is_no_object_raises(spark, text):
         spark.createDataFrame([(text,)], "t string").select(logs.parse_record(F.col("t"), N)).collect()
 
 
+def test_the_console_prints_everything(spark):
+    import io
+
+    out = io.StringIO()
+    sinks.console_sink(out)("D", spark.range(57).select(F.encode(F.col("id").cast("string"), "UTF-8").alias("key"), F.when(F.col("id") > 0, "{}").alias("value")), 3)
+    lines = out.getvalue().splitlines()
+    assert lines[0] == "-- D, batch 3" and len(lines) == 58 and "30\tDELETE\tNone" in lines and "3536\tUPDATE\t{}" in lines
+
+
 def test_memory_log_positions_and_lag(spark, rows):
     raw = logs.memory_log(spark, [(f'{{"id":{i % 4}}}', f'{{"id":{i % 4},"name":"{i}"}}') for i in range(10)], first=100)
     assert raw.select("part").distinct().count() <= 3
