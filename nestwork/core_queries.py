@@ -22,7 +22,7 @@ from .plans.relations import Relation, validate
 from .sources.logs import memory_log, parse_log
 from .sources.sinks import black_hole
 from .sources.tables import reader
-from .storage import fresh_path
+from .storage import fresh_path, materialize
 from .streaming.engine import Engine, Entity
 from .streaming.queueing import RANK, NAMES, drain, enqueue, ranked
 from .streaming.state import State
@@ -359,21 +359,13 @@ def incremental_equals_full(spark: SparkSession, d: str) -> DataFrame:
         "nation": as_changes(nation.filter("n_nationkey = 3"), KEYS["nation"], F.lit(2), F.lit(True)),
     }
     engine.process_batch(load, 0)
-    docs = {}
-
-    def keep(name: str, rows: DataFrame, batch_id: int) -> None:
-        where = fresh_path(spark, "docs")
-        rows.write.parquet(where)
-        docs[batch_id] = spark.read.parquet(where)
-
-    engine.sink = keep
-    before = engine.documents(CUSTOMER_PLACE)
-    where = fresh_path(spark, "docs")
-    before.write.parquet(where)
+    first, second = fresh_path(spark, "docs"), fresh_path(spark, "docs")
+    engine.documents(CUSTOMER_PLACE).write.parquet(first)
+    engine.sink = lambda name, rows, batch_id: rows.write.parquet(second)
     engine.process_batch(later, 1)
-    emitted = docs[1]
-    kept = spark.read.parquet(where).join(emitted.select("key"), "key", "left_anti")
-    stands = kept.unionByName(emitted.filter(F.col("value").isNotNull()))
+    emitted = spark.read.parquet(second)
+    stands = spark.read.parquet(first).join(emitted.select("key"), "key", "left_anti")
+    stands = stands.unionByName(emitted.filter(F.col("value").isNotNull()))
     full = engine.documents(CUSTOMER_PLACE)
     wrong = stands.exceptAll(full).unionByName(full.exceptAll(stands))
     return wrong.agg(F.count(F.lit(1)).alias("n_different")).withColumn("n_emitted", F.lit(emitted.count()).cast("long"))
@@ -466,6 +458,19 @@ def queue_priorities(spark: SparkSession, d: str) -> DataFrame:
     return new.groupBy(names[F.col("rank")].alias("priority")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def queue_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Orders queued as HIGH, MEDIUM and LOW by their status, in turns of 1,000 documents: who is created in which turn."""
+    o = reader(spark, d)("orders").select("o_orderkey", "o_orderstatus")
+    entity = F.when(F.col("o_orderstatus") == "F", "a").when(F.col("o_orderstatus") == "O", "b").otherwise("c")
+    new = ranked(o.select(encode_columns(o, ["o_orderkey"]).alias("pk"), entity.alias("entity")), "D", lambda name, e: {"a": "HIGH", "b": "MEDIUM", "c": "LOW"}[e], list("abc"))
+    queue, out = materialize(enqueue(spark.createDataFrame([], "pk binary, rank int, since bigint"), new, 1), "queue"), []
+    for turn in range(3):
+        now = materialize(drain(queue, None, 1000), "turn")
+        out.append(now.select(F.hex("pk").alias("pk"), F.lit(turn).cast("long").alias("turn")))
+        queue = materialize(queue.join(now.select("pk"), "pk", "left_anti"), "queue")
+    return reduce(DataFrame.unionByName, out)
+
+
 def queue_drain(spark: SparkSession, d: str) -> DataFrame:
     """What a budget of 100 low-priority documents drains: a queue's feature, not a limit of ours."""
     new = ranked(_affected(spark, d), "D", lambda name, entity: STRATEGY[entity], list(STRATEGY))
@@ -523,7 +528,7 @@ QUERIES = {
         filter_mode_counts, change_detection, filter_last_kept, join_index_forward, join_index_reverse, parent_index, parent_index_scrub,
         verify_index, affected_roots, incremental_equals_full, key_encoding_int, key_encoding_string, key_encoding_boolean,
         key_encoding_composite, keyset_operations, keyset_rows_union, keyset_rows_minus,
-        keyset_whole_union, keyset_whole_minus, keyset_whole_minus_back, queue_priorities, queue_drain,
+        keyset_whole_union, keyset_whole_minus, keyset_whole_minus_back, queue_priorities, queue_drain, queue_slices,
         stream_player_documents, memory_log_latest,
     )
 }
@@ -618,6 +623,8 @@ SQL = {
     "queue_priorities": "select case o_orderstatus when 'F' then 'HIGH' when 'O' then 'NONE' else 'LOW' end as priority, count(*) as n from orders group by 1",
     "queue_drain": f"""select {_hex('o_orderkey')} as pk, false as is_low, 7::bigint as since from orders where o_orderstatus = 'F'
       union all select * from (select {_hex('o_orderkey')} as pk, true, 7::bigint from orders where coalesce(o_orderstatus, '') not in ('F', 'O') order by 1 limit 100)""",
+    "queue_slices": f"""select pk, (n - 1) // 1000 as turn from (select {_hex('o_orderkey')} as pk, row_number() over (order by
+        case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end, {_hex('o_orderkey')}) as n from orders) where n <= 3000""",
     "stream_player_documents": f"select p.id, p.name, u.user_name from {_live('player')} p left join {_live('users')} u on u.user_id = p.user_id",
     "memory_log_latest": "select 1::bigint as n_nationkey, 'c' as n_name",
 }

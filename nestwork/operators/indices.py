@@ -80,6 +80,29 @@ def remove(index: DataFrame, rows: DataFrame) -> DataFrame:
     return keysets.rows_minus(index, rows)
 
 
+def removed(index: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of ``rows`` those that :func:`remove` takes out, each once."""
+    return keysets.rows_intersect(index, rows)
+
+
+def join_changes(image: DataFrame, table: DataFrame, join_key: str) -> DataFrame:
+    """What a batch changes in a join index: ``fk, pk, live``, from ``pk, old, new``.
+
+    A key that a record leaves is dropped, one that it takes is added; a deleted record leaves its key, a
+    null or empty key is in no index, and a record that keeps its key changes nothing.
+    """
+    old, new = (index_key(table, join_key, F.col(x)) for x in ("old", "new"))
+    both = image.select("pk", old.alias("_old"), new.alias("_new")).filter(~F.col("_old").eqNullSafe(F.col("_new")) & (F.length("pk") > 0))
+    ends = F.array(F.struct(F.col("_old").alias("fk"), F.lit(False).alias("live")), F.struct(F.col("_new").alias("fk"), F.lit(True).alias("live")))
+    return both.select("pk", F.explode(ends).alias("e")).select("e.fk", "pk", "e.live").filter("fk is not null")
+
+
+def updated(index: DataFrame, changes: DataFrame) -> DataFrame:
+    """A join index (``fk, pk``) after :func:`join_changes`."""
+    gone, new = (changes.filter(F.col("live") == x).select("fk", "pk") for x in (False, True))
+    return index.select("fk", "pk").join(gone, ["fk", "pk"], "left_anti").unionByName(new).distinct()
+
+
 def scrub(index: DataFrame, roots: DataFrame) -> DataFrame:
     """The index without the rows of the given roots (``pk``)."""
     return index.join(roots.select("pk").distinct(), "pk", "left_anti")

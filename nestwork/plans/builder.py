@@ -50,11 +50,18 @@ def index_key(table: DataFrame, name: str, value: Column | None = None) -> Colum
 Pruned = dict[tuple[str, ...], DataFrame]
 
 
-def prune(tables: Tables, root: Relation, roots: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> Pruned:
+def prune(
+    tables: Tables,
+    root: Relation,
+    roots: DataFrame,
+    cut: Callable[[DataFrame], DataFrame] = lambda df: df,
+    fetch: Callable[[Relation, DataFrame], DataFrame | None] | None = None,
+) -> Pruned:
     """Per place in the tree the records that documents of ``roots`` (``pk``) can hold, from the top down.
 
     ``cut`` may write each place's records to a table: the next level's keys then have a known size, and
-    where they are few the child's table is filtered by a broadcast, without a shuffle.
+    where they are few the child's table is filtered by a broadcast, without a shuffle. ``fetch`` may find a
+    child's records by distinct key bytes (``fk``) in an index; it gives None where it would rather not.
     """
     out: Pruned = {}
 
@@ -62,9 +69,14 @@ def prune(tables: Tables, root: Relation, roots: DataFrame, cut: Callable[[DataF
         out[path] = mine = cut(mine)
         for child in node.children:
             table = tables[child.entity]
-            parent_type, child_type = field_type(mine, child.parent_key), field_type(table, child.join_key)
-            keys = mine.select(key_of(mine, child.parent_key, child_type).alias("_k")).filter("_k is not null").distinct()
-            kept = table.withColumn("_k", key_of(table, child.join_key, parent_type)).join(keys, "_k", "left_semi").drop("_k")
+            kept = None
+            if fetch:
+                fk = mine.select(index_key(mine, child.parent_key).alias("fk"))
+                kept = fetch(child, fk.filter("fk is not null").distinct())
+            if kept is None:
+                parent_type, child_type = field_type(mine, child.parent_key), field_type(table, child.join_key)
+                keys = mine.select(key_of(mine, child.parent_key, child_type).alias("_k")).filter("_k is not null").distinct()
+                kept = table.withColumn("_k", key_of(table, child.join_key, parent_type)).join(keys, "_k", "left_semi").drop("_k")
             below(child, (*path, child.entity), kept)
 
     below(root, (root.entity,), tables[root.entity].join(roots.select("pk").distinct(), "pk", "left_semi"))

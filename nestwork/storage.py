@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+LOCAL_ROWS = 2_000  # tables of no more rows are kept with the plan
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once: with the plan itself where it has at most ``LOCAL_ROWS`` rows, else written as by :func:`materialize`."""
+    rows = df.limit(LOCAL_ROWS + 1).toArrow()
+    if rows.num_rows > LOCAL_ROWS:
+        return materialize(df, name)
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are removed at the end; only what was stored elsewhere may be used after it."""
+    mine = _written.setdefault(spark.sparkContext.applicationId, [])
+    if not mine:
+        atexit.register(cleanup, spark)
+    before = set(mine)
+    try:
+        yield
+    finally:
+        for path in [p for p in mine if p not in before]:
+            remove(spark, path)
+            mine.remove(path)
+
+
 def size_bytes(spark: SparkSession, path: str) -> int:
     """Bytes under ``path`` on whatever file system it names."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -96,10 +124,15 @@ class Files:
         return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
     def sizes(self, path: str) -> dict[str, int]:
-        """Data files of a folder and their lengths."""
+        """Data files of a folder and those in it, by path below it, and their lengths."""
         where, fs = self._at(path)
-        found = {s.getPath().getName(): int(s.getLen()) for s in fs.listStatus(where)} if fs.exists(where) else {}
-        return {k: v for k, v in found.items() if not k.startswith((".", "_"))}
+        found: dict[str, int] = {}
+        if fs.exists(where):
+            base, each = fs.getFileStatus(where).getPath().toUri().getPath(), fs.listFiles(where, True)
+            while each.hasNext():
+                f = each.next()
+                found[f.getPath().toUri().getPath()[len(base) + 1 :]] = int(f.getLen())
+        return {k: v for k, v in found.items() if not k.rpartition("/")[2].startswith((".", "_"))}
 
     def read(self, path: str) -> str:
         where, fs = self._at(path)

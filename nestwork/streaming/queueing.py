@@ -47,13 +47,23 @@ def enqueue(queue: DataFrame, new: DataFrame, batch_id: int) -> DataFrame:
     return both.groupBy("pk").agg(F.min("rank").alias("rank"), F.min("since").alias("since"))
 
 
-def drain(queue: DataFrame, low_budget: int | None) -> DataFrame:
-    """The roots to create now: all of HIGH and MEDIUM, of LOW the ``low_budget`` longest waiting (None: all)."""
-    if low_budget is None:
-        return queue
-    urgent = queue.filter(F.col("rank") < RANK[LOW])
-    slow = queue.filter(F.col("rank") == RANK[LOW]).orderBy("since", "pk").limit(low_budget)
-    return urgent.unionByName(slow)
+def drain(queue: DataFrame, low_budget: int | None, budget: int | None = None, held: int | None = None) -> DataFrame:
+    """The roots to create now: all of HIGH and MEDIUM, of LOW the ``low_budget`` longest waiting (None: all).
+
+    ``held`` lets so many of MEDIUM and of LOW wait for later, those that came last. ``budget`` bounds
+    the whole, most urgent and longest waiting first.
+    """
+    oldest = lambda rank, n: queue.filter(F.col("rank") == RANK[rank]).orderBy("since", "pk").limit(max(0, n))
+    out = queue
+    if held is not None:
+        counts = by_priority(queue)
+        n = {rank: counts.get(rank, 0) - held for rank in (MEDIUM, LOW)}
+        if low_budget is not None:
+            n[LOW] = min(n[LOW], low_budget)
+        out = queue.filter(F.col("rank") < RANK[MEDIUM]).unionByName(oldest(MEDIUM, n[MEDIUM])).unionByName(oldest(LOW, n[LOW]))
+    elif low_budget is not None:
+        out = queue.filter(F.col("rank") < RANK[LOW]).unionByName(oldest(LOW, low_budget))
+    return out if budget is None else out.orderBy("rank", "since", "pk").limit(budget)
 
 
 def by_priority(queue: DataFrame) -> dict[str, int]:

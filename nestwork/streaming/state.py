@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -143,16 +143,28 @@ class State:
         runs = self.runs(table) if staged else self.opened.tables.get(table, [])
         return self.read_runs(runs[:1], schema), self.read_runs(runs[1:], schema) if runs[1:] else None
 
-    def stage(self, table: str, rows: DataFrame, replace: bool = False) -> None:
-        """Write ``rows`` as a run of the version to be committed; ``replace`` drops the runs before it."""
+    def stage(self, table: str, rows: DataFrame, replace: bool = False, *, sort: Sequence[str] = (), ranged: bool = False) -> dict:
+        """Write ``rows`` as a run of the version to be committed; ``replace`` drops the runs before it.
+
+        Files are sorted by ``sort``, so that a lookup of few keys reads few pages of them; ``ranged``
+        also gives every file a range of its own (for rows that are read from tables, as ranges are
+        sampled first).
+        """
         number = self.opened.version + 1
-        name = f"{table.replace('/', '.')}-{number}-{uuid.uuid4().hex[:8]}"
+        name = f"{table.replace('/', '.').replace('|', '.')}-{number}-{uuid.uuid4().hex[:8]}"
         path = f"{self.uri}/runs/{name}"
-        rows.drop("run").withColumn("run", F.lit(number)).write.parquet(path)
+        rows = rows.drop("run").withColumn("run", F.lit(number))
+        if ranged and sort:
+            rows = rows.repartitionByRange(*sort)
+        if sort:
+            rows = rows.sortWithinPartitions(*sort)
+        rows.write.parquet(path)
         if replace:
             self._replaced.add(table)
             self._staged[table] = []
-        self._staged.setdefault(table, []).append({"name": name, "files": self.files.sizes(path)})
+        run = {"name": name, "files": self.files.sizes(path)}
+        self._staged.setdefault(table, []).append(run)
+        return run
 
     def commit(self, batch_id: int, **note) -> int:
         """Make the staged runs a version; versions older than ``keep_versions`` are removed."""
