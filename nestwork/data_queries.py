@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from .operators.orphans import Reference, orphan_references, orphan_totals
 from .operators.skew import eager_join_aggregate, key_counts
 from .operators.changelog import current_state
 from .sources.tables import reader
+from .storage import side_by_side
 
 REFERENCES = [
     Reference("playlist", ("id",), "id", "user_id", "users", "user_id"),
@@ -43,13 +44,12 @@ def p2_orphan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole records are rebuilt in the merge tables; keys and deciding changes of the live ones are reported."""
     get = reader(spark, sf_dir)
-    parts = [
-        from_log(get(t), [k], LOG_FIELDS[t])
-        .read()
-        .select(F.lit(t).alias("tab"), F.col(k).cast("long").alias("rec_id"), F.col("change_seq").cast("long").alias("change_seq"))
-        for t, k in LOG_KEYS.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+
+    def one(t: str, k: str) -> DataFrame:
+        state = from_log(get(t), [k], LOG_FIELDS[t]).read()
+        return state.select(F.lit(t).alias("tab"), F.col(k).cast("long").alias("rec_id"), F.col("change_seq").cast("long").alias("change_seq"))
+
+    return reduce(DataFrame.unionByName, side_by_side(partial(one, t, k) for t, k in LOG_KEYS.items()))
 
 
 def p3_playlist_state(spark: SparkSession, sf_dir: str) -> DataFrame:

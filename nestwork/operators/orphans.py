@@ -11,12 +11,12 @@ is null. Empty logs give no rows, or ``missing`` for every reference to them.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, side_by_side
 from .changelog import deciding_change, is_delete
 from .skew import HEAVY_PARTS, lookup
 
@@ -127,7 +127,7 @@ def orphan_references(tables: dict[str, DataFrame], refs: list[Reference]) -> Da
             )
         ).filter(F.col("fault").isNotNull())
 
-    return reduce(DataFrame.unionByName, map(one, refs))
+    return reduce(DataFrame.unionByName, side_by_side(partial(one, r) for r in refs))
 
 
 def orphan_counts(found: DataFrame) -> DataFrame:
@@ -164,4 +164,4 @@ def orphan_totals(tables: dict[str, DataFrame], refs: list[Reference]) -> DataFr
         totals = per_key.groupBy("period", "fault").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_keys"))
         return totals.select(F.lit(r.table).alias("tab"), "period", "fault", "n", "n_keys")
 
-    return reduce(DataFrame.unionByName, map(one, refs))
+    return reduce(DataFrame.unionByName, side_by_side(partial(one, r) for r in refs))

@@ -10,8 +10,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,7 +57,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-LOCAL_ROWS = 2_000  # tables of no more rows are kept with the plan
+LOCAL_ROWS = 10_000  # tables of no more rows are kept with the plan
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -66,6 +68,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+T = TypeVar("T")
+
+
+def side_by_side(works: Iterable[Callable[[], T]], most: int = 4) -> list[T]:
+    """Results of independent pieces of driver work whose Spark jobs may run at the same time, in order."""
+    with ThreadPoolExecutor(most) as pool:
+        return [f.result() for f in [pool.submit(w) for w in works]]
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables written inside are removed at the end; only what was stored elsewhere may be used after it."""

@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from ..operators import indices
 from ..operators.filters import DELETE, MODES, SKIP, Filter, with_modes
 from ..plans.builder import build, prune, to_json
 from ..plans.relations import Relation, edges, entities, validate
-from ..storage import kept, scratch
+from ..storage import kept, scratch, side_by_side
 from .metrics import Metrics
 from .queueing import LOW, NONE, QUEUE, RANK, Strategy, by_priority, drain, enqueue, medium, ranked
 from .state import State
@@ -185,10 +185,9 @@ class Engine:
 
     def _apply(self, batch: Mapping[str, DataFrame], batch_id: int, lagging: bool) -> None:
         empty = not self.state.opened.tables
-        images: dict[str, DataFrame] = {}
-        for entity in entities(self.roots):
-            if entity in batch and (image := self._take(entity, batch[entity])) is not None:
-                images[entity] = image
+        mine = [e for e in entities(self.roots) if e in batch]
+        taken = side_by_side(partial(self._take, e, batch[e]) for e in mine)
+        images = {e: image for e, image in zip(mine, taken) if image is not None}
         tables = {e: self.records(e) for e in entities(self.roots)}
         if empty and not lagging:  # every root is new: no parent index to ask, nothing to prune
             for root in self.roots:
@@ -268,11 +267,17 @@ class Engine:
     def _create(self, root: Relation, tables, affected: DataFrame, changed: list[str], batch_id: int, lagging: bool = False) -> None:
         name = root.denormalized_name
         new = kept(ranked(affected, name, self.strategy, changed), "affected")
-        self.metrics.dropped(name, new.filter(F.col("rank") == RANK[NONE]).count())
+        found = by_priority(new)
+        self.metrics.dropped(name, found.pop(NONE, 0))
         waiting = bool(self.state.runs(f"queue/{name}"))
-        queued = kept(enqueue(self.queue(root), new, batch_id), "queue")
-        now = kept(drain(queued, self.low_budget, self.budget, self.create_trigger if lagging else None), "drained")
-        drained = by_priority(now)
+        if waiting or lagging or self.low_budget is not None or self.budget is not None:
+            queued = kept(enqueue(self.queue(root), new, batch_id), "queue")
+            now = kept(drain(queued, self.low_budget, self.budget, self.create_trigger if lagging else None), "drained")
+            drained = by_priority(now)
+            rest = queued.join(now.select("pk"), "pk", "left_anti")
+            left = by_priority(rest)
+        else:  # nothing waited, nothing has to
+            now, drained, left = new.filter(F.col("rank") < RANK[NONE]), found, {}
         if drained:
             pks = now.select("pk")
             mine = {**tables, root.entity: self.records(root.entity, keys=pks)}
@@ -283,8 +288,6 @@ class Engine:
             rows = indices.parent_index(tables, root, pks, below).unionByName(marks)
             self.state.stage(f"parent/{name}", rows, sort=["edge", "fk", "pk"])
             self.metrics.created(name, drained)
-        rest = queued.join(now.select("pk"), "pk", "left_anti")
-        left = by_priority(rest) if waiting or self.low_budget is not None or self.budget is not None or lagging else {}
         self.metrics.to_create(name, left)
         if left or waiting:
             self.state.stage(f"queue/{name}", rest, replace=True)
