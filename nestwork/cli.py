@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 from . import config as settings
 from .plans.relations import Relation, entities, load, local_path
+from .registry import filter_of, strategy_of
 from .sources import logs, sinks
 from .streaming.engine import Engine, Entity
+from .streaming.metrics import Reporter
 from .streaming.state import State
 from .streaming.streams import start
 
@@ -37,7 +39,8 @@ def inputs_of(config: dict, roots: Sequence[Relation]) -> dict[str, Entity]:
         section = settings.topic(config, entity)
         if not section.get("schema") or not section.get("keys"):
             raise ValueError(f"topic {entity}: keys and schema must be given")
-        found[entity] = Entity(list(section["keys"]), T.StructType.fromDDL(section["schema"]))
+        schema = T.StructType.fromDDL(section["schema"])
+        found[entity] = Entity(list(section["keys"]), schema, filter_of(entity, schema, section))
     return found
 
 
@@ -85,7 +88,8 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
     state = State(spark, s.state_uri, s.backup_uri, s.backups_to_keep, s.auto_rollback, s.restore_mode)
     engine = lambda: Engine(
         spark, roots, inputs_of(config, roots), state, sink_of(config, roots),
-        low_budget=s.low_budget, compact_every=s.compact_every, backup_every=s.backup_every,
+        strategy=strategy_of(config), low_budget=s.low_budget, compact_every=s.compact_every, backup_every=s.backup_every,
+        budget=s.budget, create_trigger=s.create_trigger,
     )
     if asked.verify_state:
         wrong = engine().verify()
@@ -102,7 +106,11 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
         state.restore()
     if asked.build:
         running = engine()
-        query = start(running, streams_of(spark, config, roots), f"{s.state_uri.rstrip('/')}-checkpoint", available_now=not asked.continuous)
+        report = Reporter(running.metrics, s.report_seconds)
+        query = start(
+            running, streams_of(spark, config, roots), f"{s.state_uri.rstrip('/')}-checkpoint",
+            available_now=not asked.continuous, after=report, lag_trigger=s.lag_trigger,
+        )
         query.awaitTermination()
         print(running.report())
         state.close()

@@ -11,10 +11,8 @@ from typing import Any
 UNUSED = (
     "backup.on.shutdown",
     "create.records.time.s",
-    "create.records.trigger",
     "index.lru.cache.size",
     "index.write.batch.size",
-    "metrics.report.time.s",
 )
 UNUSED_PREFIXES = ("rocks.db.compaction", "rocks.db.max", "rocks.db.memtable", "rocks.db.parallelism", "rocks.db.put", "rocks.db.log", "aws.s3")
 
@@ -29,7 +27,10 @@ class Settings:
     auto_rollback: bool = False
     restore_mode: str = "never"
     low_budget: int | None = None
+    budget: int | None = None
+    create_trigger: int = 250_000
     lag_trigger: int = 1000
+    report_seconds: float = 30
     compact_every: int = 16
     backup_every: int = 0
 
@@ -41,14 +42,17 @@ class Settings:
         uri = config.get("state.uri", config.get("rocks.db.uri"))
         if not uri:
             raise ValueError("state.uri is not set")
-        budget = config.get("low.records.per.batch")
+        number = lambda name: None if config.get(name) is None else int(config[name])
         return Settings(
             state_uri=str(uri),
             backup_uri=config.get("state.backup.uri", config.get("rocks.db.backup.uri")),
             backups_to_keep=int(config.get("rocks.db.backups.to.keep", 5)),
             auto_rollback=bool(config.get("rocks.db.backups.auto.rollback", False)),
             restore_mode=str(config.get("rocks.db.restore.mode", "never")),
-            low_budget=None if budget is None else int(budget),
+            low_budget=number("low.records.per.batch"),
+            budget=number("records.per.batch"),
+            create_trigger=int(config.get("create.records.trigger", 250_000)),
+            report_seconds=float(config.get("metrics.report.time.s", 30)),
             lag_trigger=int(config.get("topic.lag.trigger", 1000)),
             compact_every=int(config.get("compact.every.batches", 16)),
             backup_every=int(config.get("backup.every.batches", 0)),

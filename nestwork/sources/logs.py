@@ -89,9 +89,10 @@ def kafka_options(config: Mapping[str, object]) -> dict[str, str]:
     client = {k: v for k, v in config.items() if k not in OWN | IGNORED and not k.startswith("schema.registry")}
     servers = str(client.pop("bootstrap.servers"))
     out = {f"kafka.{k}": str(v) for k, v in client.items() if k not in ("client.id", "group.id", "acks")}
-    if "topic.lag.trigger" in config:
-        out.pop("kafka.topic.lag.trigger", None)
-        out["maxOffsetsPerTrigger"] = str(config["topic.lag.trigger"])
+    out.pop("kafka.topic.lag.trigger", None)
+    if "records.per.trigger" in config:
+        out.pop("kafka.records.per.trigger", None)
+        out["maxOffsetsPerTrigger"] = str(config["records.per.trigger"])
     return out | {"kafka.bootstrap.servers": servers, "subscribe": str(config["topic.name"]), "startingOffsets": "earliest"}
 
 
@@ -116,4 +117,15 @@ def avro_record(col: Column, schema: str, registry_header: bool = True) -> Colum
     """
     from pyspark.sql.avro.functions import from_avro
 
-    return from_avro(F.expr(f"substring({col._jc.toString()}, 6)") if registry_header else col, schema)
+    return from_avro(F.substring(col, 6, 2**31 - 1) if registry_header else col, schema)
+
+
+def avro_bytes(col: Column, schema: str, registry_id: int | None = None) -> Column:
+    """A struct as Avro bytes, with the header that names a registered schema if its number is given.
+
+    Needs Spark's Avro package on the class path.
+    """
+    from pyspark.sql.avro.functions import to_avro
+
+    data = to_avro(col, schema)
+    return data if registry_id is None else F.concat(F.lit(bytearray(b"\0" + registry_id.to_bytes(4, "big"))), data)

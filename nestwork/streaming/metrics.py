@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import sys
 import time
 from collections import defaultdict
+from collections.abc import Iterable
 from contextlib import contextmanager
 
 
@@ -52,6 +55,17 @@ class Metrics:
         single = [v for k, v in self.gauges.items() if k.startswith("denormalized.records.to.create.") and k.count(".") == 4]
         self.gauge("denormalized.records.to.create", sum(single))
 
+    def lag(self, by_topic: dict[str, int]) -> None:
+        for topic, n in by_topic.items():
+            self.gauge(f"topic.lag.{topic}", n)
+        self.gauge("topic.lag", sum(by_topic.values()))
+
+    def index_sizes(self, sizes: Iterable) -> None:
+        """Rows of :meth:`Engine.index_sizes` as gauges."""
+        for r in sizes:
+            for name in ("n_entries", "n_keys", "largest"):
+                self.gauge(f"index.{name.replace('_', '.')}.{r['root']}.{r['edge']}", r[name])
+
     def backed_up(self) -> None:
         self._backup = time.time()
 
@@ -59,3 +73,15 @@ class Metrics:
         """All values by name."""
         self.gauge("time.since.last.backup", round((time.time() - self._backup) * 1000))
         return {**self.counters, **self.gauges, **{f"{k}.seconds": v for k, v in self.seconds.items()}}
+
+
+class Reporter:
+    """Called after every batch, prints the metrics as a JSON line at most every ``seconds`` (0: never)."""
+
+    def __init__(self, metrics: Metrics, seconds: float, out=None):
+        self.metrics, self.seconds, self.out, self.last = metrics, seconds, out, time.monotonic()
+
+    def __call__(self, batch_id: int) -> None:
+        if self.seconds > 0 and time.monotonic() - self.last >= self.seconds:
+            self.last = time.monotonic()
+            print(json.dumps(self.metrics.report(), sort_keys=True), file=self.out or sys.stderr)

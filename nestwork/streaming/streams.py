@@ -6,7 +6,8 @@ one checkpoint drives the engine: a micro-batch is a batch of all entities, numb
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import json
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -36,13 +37,21 @@ def start(
     available_now: bool = False,
     every: str | None = None,
     after: Callable[[int], None] | None = None,
+    lag_trigger: int | None = None,
 ) -> StreamingQuery:
-    """Start the query that feeds ``engine`` from streaming raw logs; ``after`` runs after each batch."""
+    """Start the query that feeds ``engine`` from streaming raw logs; ``after`` runs after each batch.
+
+    With ``lag_trigger``, documents wait (see :meth:`Engine.process_batch`) while more rows than that are
+    known to be unread behind the batch before.
+    """
+    running: list[StreamingQuery] = []
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        behind = lags(running[0]) if running else {}
+        engine.metrics.lag(behind)
         batch.persist()
         try:
-            engine.process_batch(split(batch, engine.inputs), batch_id)
+            engine.process_batch(split(batch, engine.inputs), batch_id, lag_trigger is not None and sum(behind.values()) > lag_trigger)
         finally:
             batch.unpersist()
         if after:
@@ -53,7 +62,8 @@ def start(
         writer = writer.trigger(availableNow=True)
     elif every:
         writer = writer.trigger(processingTime=every)
-    return writer.start()
+    running.append(writer.start())
+    return running[0]
 
 
 def reset(engine: Engine, checkpoint: str) -> None:
@@ -66,12 +76,33 @@ def reset(engine: Engine, checkpoint: str) -> None:
     engine.state.commit(-1)
 
 
-def lag(query: StreamingQuery) -> int:
-    """Rows that the last progress report says are not yet read, as far as the sources tell."""
+def lags(query: StreamingQuery) -> dict[str, int]:
+    """Unread rows per topic after the last progress report, as far as the sources tell: of sources that
+    report offsets per topic and partition the difference to the latest ones, of others nothing."""
     progress = query.lastProgress
-    if not progress:
-        return 0
-    total = 0
-    for source in progress["sources"]:
-        total += int(float((source.get("metrics") or {}).get("maxOffsetsBehindLatest") or 0))
-    return total
+    return behind(progress["sources"]) if progress else {}
+
+
+def behind(sources: Iterable[Mapping]) -> dict[str, int]:
+    """:func:`lags` of the sources of a progress report."""
+    out: dict[str, int] = {}
+    for source in sources:
+        end, latest = (_offsets(source.get(name)) for name in ("endOffset", "latestOffset"))
+        for topic, parts in latest.items():
+            done = end.get(topic) or {}
+            out[topic] = out.get(topic, 0) + sum(max(0, int(n) - int(done.get(p, 0))) for p, n in parts.items())
+    return out
+
+
+def _offsets(found) -> dict[str, dict]:
+    """Offsets by topic and partition; empty if they are of another form."""
+    try:
+        parsed = json.loads(found) if isinstance(found, str) else found
+    except ValueError:
+        return {}
+    return {t: p for t, p in parsed.items() if isinstance(p, dict)} if isinstance(parsed, dict) else {}
+
+
+def lag(query: StreamingQuery) -> int:
+    """All unread rows that :func:`lags` knows of."""
+    return sum(lags(query).values())

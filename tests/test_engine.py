@@ -6,11 +6,13 @@ import pytest
 from model import documents, looked_up, parsed, pk_bytes
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from trees import FIELDS, KEYS, LISTS, SCHEMAS, TREES, record
+from trees import FIELDS, KEYS, LISTS, SCHEMAS, TREES, child, record
 
 from nestwork.functions.keys import encode_columns
 from nestwork.operators.filters import DELETE, SKIP, Filter, skip_unchanged
-from nestwork.sources.sinks import MemorySink
+from nestwork.operators.latest import as_changes
+from nestwork.plans.relations import Relation
+from nestwork.sources.sinks import MemorySink, black_hole
 from nestwork.streaming.engine import Engine, Entity
 from nestwork.streaming.state import State
 
@@ -132,3 +134,53 @@ def test_a_failed_batch_leaves_nothing(spark, tmp_path):
     assert engine.process_batch(batch, 0) and list(sink.latest("DenormalizedList")) == [b"\1"]
     with pytest.raises(ValueError):
         engine.process_batch({"stranger": batch["list"]}, 1)
+
+
+def test_slices_and_lag(spark, tmp_path):
+    """A budget for all priorities; while the inputs lag, only what exceeds the trigger is created."""
+    sink = MemorySink()
+    order = {"list": "MEDIUM", "owner": "HIGH"}
+    engine = Engine(spark, [LISTS], inputs(), State(spark, f"file://{tmp_path}/s"), sink, lambda n, e: order.get(e, "LOW"), budget=3, create_trigger=4)
+    run = lambda i, lagging=False, **b: engine.process_batch({e: changes(spark, e, x) for e, x in b.items()}, i, lagging)
+    made = lambda: len(sink.rows.get("DenormalizedList", []))
+    run(0, lagging=True, owner=[(1, one("owner", owner_id=5), False)], list=[(2, one("list", id=i, owner_id=5 if i == 1 else None), False) for i in range(1, 7)])
+    assert made() == 2  # six wait, four may
+    run(1, lagging=True, owner=[(3, one("owner", owner_id=5, name="x"), False)])
+    assert made() == 3 and sink.rows["DenormalizedList"][-1][0] == b"\1"  # the urgent one
+    assert engine.metrics.report()["denormalized.records.to.create"] == 4
+    run(2)
+    assert made() == 6
+    run(3)
+    assert made() == 7 and engine.metrics.report()["denormalized.records.to.create"] == 0
+
+
+def test_a_small_batch_reads_little_of_a_large_state(spark, tmp_path):
+    """The cost of ten changes stays when the state grows tenfold, and nothing is left in the shared folder."""
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    read = {}
+    for n in (60_000, 600_000):
+        tree = Relation("list", "D", None, None, (child("entry", "list_id", "id"),))
+        types = {e: Entity(KEYS[e], T.StructType.fromDDL(SCHEMAS[e])) for e in ("list", "entry")}
+        engine = Engine(spark, [tree], types, State(spark, f"file://{tmp_path}/s{n}"), black_hole)
+        lists = spark.range(n, numPartitions=1).select("id", F.lit(1).alias("owner_id"), F.sha2(F.col("id").cast("string"), 256).alias("title"))
+        entries = spark.range(n, numPartitions=1).select("id", F.col("id").alias("list_id"), F.lit(1).cast("long").alias("clip_id"), F.lit(1).alias("pos"))
+        load = {"list": as_changes(lists, ["id"], F.lit(1)), "entry": as_changes(entries, ["id"], F.lit(1))}
+        engine.process_batch(load, 0)
+        few = {"entry": as_changes(entries.filter("id % 6000 = 7 and id < 60000").withColumn("pos", F.lit(2)), ["id"], F.lit(2))}
+        few = {"entry": spark.createDataFrame(few["entry"].toArrow(), few["entry"].schema)}
+        left = set(os.listdir(shared))
+        before = bytes_read(spark)
+        engine.process_batch(few, 1)
+        read[n] = bytes_read(spark) - before
+        assert set(os.listdir(shared)) == left
+        assert engine.metrics.report()["denormalized.records.created"] == n + 10
+    assert read[600_000] < 2 * read[60_000], read
+
+
+def bytes_read(spark):
+    """Bytes that all stages so far have read from files."""
+    store = spark._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).inputBytes() for i in range(stages.size()))

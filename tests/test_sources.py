@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from trees import FIELDS, KEYS, LISTS, SCHEMAS
 
-from nestwork import cli, config
+from nestwork import cli, config, registry
+from nestwork.operators.filters import Filter
 from nestwork.operators.latest import latest
 from nestwork.sources import logs, sinks
 from nestwork.streaming.engine import Engine, Entity
 from nestwork.streaming.state import State
-from nestwork.streaming.streams import lag, reset, start
+from nestwork.streaming.metrics import Metrics
+from nestwork.streaming.streams import behind, lag, reset, start
 
 N = T.StructType().add("id", "long").add("name", "string").add("more", T.ArrayType(T.IntegerType()))
 
@@ -166,3 +168,49 @@ def test_command_line(spark, tmp_path, capsys):
     assert not (tmp_path / "backup").exists()
     with pytest.raises(SystemExit):
         cli.main(["--help"], spark)
+
+
+def test_command_line_with_filter_and_strategy(spark, tmp_path):
+    """What the configuration names is applied; what it names in vain raises."""
+    registry.register_filter("no.b", lambda entity, schema, c: Filter(lambda e, new, old: F.when(new["name"] == c["unwanted"], "DELETE")))
+    registry.register_strategy("owners.wait", lambda name, entity: "NONE" if entity == "owner" else "HIGH")
+    tree = {"DenormalizedName": "Doc", "Entity": "list", "Children": [{"Entity": "owner", "JoinKey": "owner_id", "ParentKey": "owner_id"}]}
+    (tmp_path / "tree.json").write_text(json.dumps([tree]))
+    put(tmp_path / "list", "1.json", [event("list", i, id=i, owner_id=4 + i) for i in (1, 2)])
+    put(tmp_path / "owner", "1.json", [event("owner", 1, owner_id=5, name="a"), event("owner", 2, owner_id=6, name="b")])
+
+    def text(**names):
+        own = {"list": "", "owner": f", filter.class: {names.get('filter', 'no.b')}, unwanted: b"}
+        sections = "".join(f"  {e}: {{topic.class: files, path: {tmp_path}/{e}, keys: {KEYS[e]}, schema: '{SCHEMAS[e]}'{x}}}\n" for e, x in own.items())
+        head = f"state.uri: file://{tmp_path}/state\nqueueing.strategy.class: {names.get('strategy', 'owners.wait')}\nmetrics.report.time.s: 0.001\ntopics:\n"
+        (tmp_path / "c.yaml").write_text(f"{head}  Doc: {{topic.class: parquet, path: {tmp_path}/out}}\n{sections}")
+        return ["--config", str(tmp_path / "c.yaml"), "--relations", str(tmp_path / "tree.json")]
+
+    def names():
+        stored = sinks.latest_documents(spark.read.parquet(f"{tmp_path}/out/Doc"))
+        docs = [json.loads(r.value) for r in stored.collect()]
+        return sorted((d["Record"]["id"], [o["Record"]["name"] for o in d["Children"]["owner"]]) for d in docs)
+
+    for wrong in ({"filter": "who.knows"}, {"strategy": "who.knows"}, {"filter": "nestwork.registry:nothing"}):
+        with pytest.raises(ValueError, match="who.knows|nothing"):
+            cli.main([*text(**wrong), "--build"], spark)
+    assert cli.main([*text(), "--build"], spark) == 0
+    assert names() == [(1, ["a"]), (2, [])]  # the unwanted owner is deleted
+    put(tmp_path / "owner", "2.json", [event("owner", 3, owner_id=5, name="c")])
+    assert cli.main([*text(), "--build"], spark) == 0
+    assert names() == [(1, ["a"]), (2, [])]  # changes of owners are dropped: the document is stale
+    put(tmp_path / "list", "2.json", [event("list", 4, id=1, owner_id=5)])
+    assert cli.main([*text(), "--build"], spark) == 0
+    assert names() == [(1, ["c"]), (2, [])]
+    assert registry.filter_of("e", N, {"filter.class": "a.b.DefaultFilter"}).rule is None
+    assert registry.filter_of("e", N, {"filter.class": "skip.unchanged"}).equality
+    assert registry.strategy_of({})("D", "e") == "MEDIUM"
+
+
+def test_lag_of_sources():
+    kafka = {"endOffset": '{"t": {"0": 5, "1": 7}}', "latestOffset": '{"t": {"0": 9, "1": 7, "2": 4}, "u": {"0": 1}}'}
+    files = {"endOffset": '{"logOffset": 3}', "latestOffset": None}
+    assert behind([kafka, files, {"endOffset": 5, "latestOffset": "nonsense"}]) == {"t": 8, "u": 1}
+    m = Metrics()
+    m.lag({"t": 8, "u": 1})
+    assert m.report()["topic.lag"] == 9 and m.report()["topic.lag.t"] == 8
