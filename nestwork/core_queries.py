@@ -14,13 +14,13 @@ from .data_queries import state_sql
 from .functions import keysets
 from .functions.keys import encode_columns, encode_key
 from .operators import indices
-from .operators.changelog import deciding_change
+from .operators.changelog import deciding_change, is_delete
 from .operators.filters import DELETE, SKIP, UPDATE, Filter, is_equal, mode_counts, with_modes
 from .operators.latest import as_changes, before_images, latest
 from .plans.builder import build, to_json
 from .plans.relations import Relation, validate
-from .sources.logs import memory_log, parse_log
-from .sources.sinks import black_hole
+from .sources.logs import as_raw_log, by_key, lag, parse_log
+from .sources.sinks import black_hole, latest_documents, parquet_sink
 from .sources.tables import reader
 from .storage import fresh_path, materialize
 from .streaming.engine import Engine, Entity
@@ -288,8 +288,7 @@ def change_detection(spark: SparkSession, d: str) -> DataFrame:
 def filter_last_kept(spark: SparkSession, d: str) -> DataFrame:
     """Changes of a media title that come after the last kept one in the alphabet; the others are skipped, deletes start anew."""
     log = reader(spark, d)("media")
-    dead = F.coalesce(F.lower(F.trim("op")).startswith("d"), F.lit(True))
-    once = log.groupBy("id", "change_seq").agg(F.min(dead).alias("gone"), F.min(F.coalesce("title", F.lit(""))).alias("title"))
+    once = log.groupBy("id", "change_seq").agg(F.min(is_delete(F.col("op"))).alias("gone"), F.min(F.coalesce("title", F.lit(""))).alias("title"))
     changes = as_changes(once, ["id"], F.col("change_seq"), F.col("gone"), drop=["gone"])
     rule = Filter(lambda entity, new, old: F.when(new["title"] <= old["title"], SKIP), uses_old=True)
     return with_modes(changes, "media", rule).select("key.id", "seq", "mode")
@@ -487,13 +486,7 @@ def stream_player_documents(spark: SparkSession, d: str) -> DataFrame:
         keys, values = LOGS[t]
         df = get(t)
         types[t] = Entity(keys, df.select(*keys, *values).schema)
-        dead = F.coalesce(F.lower(F.trim("op")).startswith("d"), F.lit(True))
-        text = df.select(
-            F.to_json(F.struct(*keys)).alias("key"),
-            F.when(~dead, F.to_json(F.struct(*keys, *values))).alias("value"),
-            F.col("part_no").alias("part"),
-            F.col("change_seq").alias("pos"),
-        )
+        text = as_raw_log(df, keys, values, F.col("change_seq"), is_delete(F.col("op")))
         path = fresh_path(spark, f"raw-{t}")
         text.repartitionByRange(3, "pos").write.json(path)
         raw[t] = spark.readStream.schema("key string, value string, part int, pos bigint").option("maxFilesPerTrigger", 2).json(path)
@@ -505,18 +498,99 @@ def stream_player_documents(spark: SparkSession, d: str) -> DataFrame:
     return read.select("doc.Record.id", "doc.Record.name", F.get("doc.Children.users", 0)["Record"]["user_name"].alias("user_name"))
 
 
+def _media_raw(spark: SparkSession, d: str) -> DataFrame:
+    """The log of media as raw rows of keys and values, in hash partitions."""
+    keys, values = LOGS["media"]
+    return as_raw_log(reader(spark, d)("media"), keys, values, F.col("change_seq"), is_delete(F.col("op")))
+
+
 def memory_log_latest(spark: SparkSession, d: str) -> DataFrame:
-    """A log from memory with an update, a tombstone and an empty record: who is left."""
-    schema = reader(spark, d)("nation").select("n_nationkey", "n_name").schema
-    lines = [
-        ('{"n_nationkey":1}', '{"n_nationkey":1,"n_name":"a"}'),
-        ('{"n_nationkey":2}', '{"n_nationkey":2,"n_name":"b"}'),
-        ('{"n_nationkey":1}', '{"n_nationkey":1,"n_name":"c"}'),
-        ('{"n_nationkey":2}', None),
-        ('{"n_nationkey":3}', "{}"),
-    ]
-    changes = parse_log(memory_log(spark, lines), ["n_nationkey"], schema)
-    return latest(changes).select(F.col("value.n_nationkey").cast("long").alias("n_nationkey"), "value.n_name")
+    """The log of media as raw JSON, parsed again: who is left."""
+    keys, values = LOGS["media"]
+    changes = parse_log(_media_raw(spark, d), keys, reader(spark, d)("media").select(*keys, *values).schema)
+    return latest(changes).select("value.id", "value.status", "value.user_id", "value.title")
+
+
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The current media that player owners own, asked for by their keys."""
+    keys, values = LOGS["media"]
+    changes = parse_log(_media_raw(spark, d), keys, reader(spark, d)("media").select(*keys, *values).schema)
+    asked = reader(spark, d)("playlist_media").select("media_id").filter("media_id is not null")
+    found = by_key(latest(changes), asked.select(encode_columns(asked, ["media_id"]).alias("pk")))
+    return found.select("value.id", "value.title")
+
+
+def log_lag(spark: SparkSession, d: str) -> DataFrame:
+    """Per partition of the media log the rows unread by a reader that stands behind change 1000 in the even ones."""
+    raw = reader(spark, d)("media").select(F.col("part_no").alias("part"), F.col("change_seq").alias("pos"))
+    parts = [r["part"] for r in raw.select("part").distinct().collect()]  # partitions of a log
+    return lag(raw, {p: 1000 for p in parts if p % 2 == 0}).select(F.col("part").cast("long").alias("part"), "n")
+
+
+def _customer_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The customers by nation, and what a batch changes: every fifth moves on, every tenth is deleted, nation 0 becomes null."""
+    table = _star(spark, d, customer=["c_custkey", "c_nationkey"])["customer"]
+    key, nation = F.col("value.c_custkey"), F.col("value.c_nationkey")
+    moved = F.when(key % 5 == 0, F.pmod(nation + 1, F.lit(25)).cast("int")).otherwise(F.nullif(nation, F.lit(0)))
+    new = F.when(key % 10 != 0, F.struct(key.alias("c_custkey"), moved.alias("c_nationkey")))
+    index = table.select(indices.index_key(table, "c_nationkey").alias("fk"), "pk")
+    return index, indices.join_changes(table.select("pk", F.col("value").alias("old"), new.alias("new")), table, "c_nationkey")
+
+
+def join_index_update(spark: SparkSession, d: str) -> DataFrame:
+    return indices.updated(*_customer_index(spark, d)).select(F.hex("fk").alias("fk"), F.hex("pk").alias("pk"))
+
+
+def join_index_changes(spark: SparkSession, d: str) -> DataFrame:
+    return _customer_index(spark, d)[1].select(F.hex("fk").alias("fk"), F.hex("pk").alias("pk"), "live")
+
+
+def index_add_remove(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by customer: those of large customers removed from the index, all added back twice; rows after each step."""
+    tables = _star(spark, d, customer=["c_custkey"], orders=["o_orderkey", "o_custkey"])
+    index = indices.join_index(tables, [CUSTOMER_ORDERS])
+    some = index.filter(F.conv(F.hex("fk"), 16, 10).cast("long") % 4 == 1)
+    less = indices.remove(index, some)
+    n = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("step"), "n")
+    steps = {"removed": indices.removed(index, some.unionByName(some)), "left": less, "added": indices.add(indices.add(less, some), index)}
+    return reduce(DataFrame.unionByName, (n(k, v) for k, v in steps.items()))
+
+
+def index_dump(spark: SparkSession, d: str) -> DataFrame:
+    return indices.dump(indices.join_index(_star(spark, d, customer=["c_custkey"], orders=["o_orderkey", "o_custkey"]), [CUSTOMER_ORDERS]))
+
+
+def keyset_contains(spark: SparkSession, d: str) -> DataFrame:
+    """Per order: whether its parts on odd lines are all on even ones too, and whether part 1 is among either."""
+    x = reader(spark, d)("lineitem")
+    x = x.select("l_orderkey", "l_linenumber", encode_columns(x, ["l_partkey"]).alias("k"))
+    pick = lambda r: F.when(F.col("l_linenumber") % 2 == r, F.col("k"))
+    s = x.groupBy("l_orderkey").agg(keysets.collect(pick(1)).alias("a"), keysets.collect(pick(0)).alias("b"))
+    a, b, one = F.col("a"), F.col("b"), F.lit(bytearray(b"\1"))
+    return s.select("l_orderkey", keysets.contains_all(b, a).alias("all_in"), keysets.contains(keysets.union(a, b), one).alias("has_one"), keysets.is_empty(b).alias("none_even"))
+
+
+def replay_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The logs of playlists and users delivered in three rounds of arrival, changes of users alone being dropped (NONE):
+    every document is as of the round in which its playlist last changed."""
+    get = reader(spark, d)
+    types = {t: Entity(LOGS[t][0], get(t).select(*LOGS[t][0], *LOGS[t][1]).schema) for t in ("playlist", "users")}
+    tree = _root("DenormalizedPlaylistOwner", "playlist", _child("users", "user_id", "user_id"))
+    out = fresh_path(spark, "replay")
+    engine = Engine(spark, [tree], types, State(spark, fresh_path(spark, "replay-state")), parquet_sink(out), lambda name, e: "NONE" if e == "users" else "MEDIUM")
+    for n in range(3):
+        batch = {}
+        for t in types:
+            log = get(t).filter(F.expr(REPLAY_ROUND) == n)
+            keys, values = LOGS[t]
+            batch[t] = as_changes(log.select(*keys, *values, "change_seq", "op"), keys, F.col("change_seq"), is_delete(F.col("op")), drop=["change_seq", "op"])
+        engine.process_batch(batch, n)
+    doc = "Record struct<id: bigint, title: string>, Children struct<users: array<struct<Record: struct<user_name: string>>>>"
+    docs = latest_documents(spark.read.parquet(f"{out}/DenormalizedPlaylistOwner")).select(F.from_json("value", doc).alias("doc"))
+    return docs.select("doc.Record.id", "doc.Record.title", F.get("doc.Children.users", 0)["Record"]["user_name"].alias("user_name"))
+
+
+REPLAY_ROUND = "pmod(day(arrived_at), 3)"  # not in the order of the changes: late ones and copies come in later rounds
 
 
 QUERIES = {
@@ -529,7 +603,8 @@ QUERIES = {
         verify_index, affected_roots, incremental_equals_full, key_encoding_int, key_encoding_string, key_encoding_boolean,
         key_encoding_composite, keyset_operations, keyset_rows_union, keyset_rows_minus,
         keyset_whole_union, keyset_whole_minus, keyset_whole_minus_back, queue_priorities, queue_drain, queue_slices,
-        stream_player_documents, memory_log_latest,
+        stream_player_documents, memory_log_latest, point_lookup, log_lag, join_index_update, join_index_changes,
+        index_add_remove, index_dump, keyset_contains, replay_rounds,
     )
 }
 
@@ -626,5 +701,25 @@ SQL = {
     "queue_slices": f"""select pk, (n - 1) // 1000 as turn from (select {_hex('o_orderkey')} as pk, row_number() over (order by
         case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end, {_hex('o_orderkey')}) as n from orders) where n <= 3000""",
     "stream_player_documents": f"select p.id, p.name, u.user_name from {_live('player')} p left join {_live('users')} u on u.user_id = p.user_id",
-    "memory_log_latest": "select 1::bigint as n_nationkey, 'c' as n_name",
+    "memory_log_latest": f"select id, status, user_id, title from {_live('media')}",
+    "point_lookup": f"select id, title from {_live('media')} where id in (select media_id from playlist_media)",
+    "log_lag": "select part_no::bigint as part, count(*) filter (part_no % 2 <> 0 or change_seq >= 1000) as n from media group by 1",
+    "join_index_update": f"""select {_hex('n')} as fk, {_hex('c_custkey')} as pk from (select c_custkey,
+        case when c_custkey % 5 = 0 then (c_nationkey + 1) % 25 else nullif(c_nationkey, 0) end as n from customer where c_custkey % 10 <> 0) where n is not null""",
+    "join_index_changes": f"""with c as (select c_custkey as k, c_nationkey as o, case when c_custkey % 10 = 0 then null
+        when c_custkey % 5 = 0 then (c_nationkey + 1) % 25 else nullif(c_nationkey, 0) end as n from customer)
+      select {_hex('o')} as fk, {_hex('k')} as pk, false as live from c where o is not null and o is distinct from n
+      union all select {_hex('n')}, {_hex('k')}, true from c where n is not null and o is distinct from n""",
+    "index_add_remove": """select 'removed' as step, count(*) as n from orders where o_custkey % 4 = 1
+      union all select 'left', count(*) from orders where o_custkey % 4 <> 1 union all select 'added', count(*) from orders""",
+    "index_dump": f"""select '{{"index":"JK|orders|o_custkey","fk":"' || {_hex('o_custkey')} || '","pks":["' || string_agg(h, '","' order by h) || '"]}}' as value
+      from (select o_custkey, {_hex('o_orderkey')} as h from orders) group by o_custkey""",
+    "keyset_contains": """with g as (select l_orderkey, l_partkey, bool_or(l_linenumber % 2 = 1) as a, bool_or(l_linenumber % 2 = 0) as b from lineitem group by 1, 2)
+      select l_orderkey, bool_and(b or not a) as all_in, bool_or(l_partkey = 1) as has_one, not bool_or(b) as none_even from g group by 1""",
+    "replay_rounds": """with p as (select *, day(arrived_at at time zone 'UTC') % 3 as r from playlist), u as (select *, day(arrived_at at time zone 'UTC') % 3 as r from users),
+        pl as (select id, title, user_id, r, (op is null or lower(trim(op)) like 'd%') as gone, row_number() over (partition by id order by change_seq desc, r) as k from p),
+        us as (select t.r, user_id, user_name, (op is null or lower(trim(op)) like 'd%') as gone,
+          row_number() over (partition by t.r, user_id order by change_seq desc) as k from (select unnest([0, 1, 2]) as r) t join u on u.r <= t.r)
+      select pl.id, title, user_name from pl left join us on us.user_id = pl.user_id and us.r = pl.r and us.k = 1 and not us.gone
+      where pl.k = 1 and not pl.gone""",
 }

@@ -51,6 +51,13 @@ def memory_log(spark: SparkSession, records: Iterable[tuple[str | None, str | No
     return df.select("key", "value", F.pmod(F.hash("key"), F.lit(MEMORY_PARTITIONS)).alias("part"), "pos")
 
 
+def as_raw_log(df: DataFrame, keys: Sequence[str], values: Sequence[str], pos: Column, deleted: Column) -> DataFrame:
+    """Rows of a table as a raw log of ``MEMORY_PARTITIONS`` hash partitions, null values where ``deleted``."""
+    key = F.to_json(F.struct(*keys))
+    value = F.when(~F.coalesce(deleted, F.lit(False)), F.to_json(F.struct(*keys, *values)))
+    return df.select(key.alias("key"), value.alias("value"), F.pmod(F.hash(key), F.lit(MEMORY_PARTITIONS)).alias("part"), pos.cast("long").alias("pos"))
+
+
 def pairs_file(lines: Iterable[str]) -> list[tuple[str | None, str | None]]:
     """Alternating key and value lines; a blank value line is a tombstone."""
     texts = [x.rstrip("\n") for x in lines]

@@ -28,7 +28,7 @@ from ..plans.relations import Relation, edges, entities, validate
 from ..storage import kept, scratch, side_by_side
 from .metrics import Metrics
 from .queueing import LOW, NONE, QUEUE, RANK, Strategy, by_priority, drain, enqueue, medium, ranked
-from .state import State
+from .state import Store
 
 PARENT = "edge string, fk binary, pk binary"
 JOIN = "fk binary, pk binary, live boolean"
@@ -82,7 +82,7 @@ class Engine:
         spark: SparkSession,
         roots: Sequence[Relation],
         inputs: Mapping[str, Entity],
-        state: State,
+        state: Store,
         sink: Sink,
         strategy: Strategy = medium,
         low_budget: int | None = None,
@@ -361,5 +361,8 @@ class Engine:
         """All documents from the current records: ``key, value``."""
         return to_json(build({e: self.records(e) for e in entities([root])}, root))
 
-    def report(self) -> str:
+    def report(self, with_indices: bool = False) -> str:
+        """The metrics as JSON; with the sizes of the indices if asked, which reads these."""
+        if with_indices:
+            self.metrics.index_sizes(self.index_sizes().collect())  # a row per edge
         return json.dumps(self.metrics.report(), sort_keys=True)

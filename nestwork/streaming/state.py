@@ -13,6 +13,7 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,39 @@ class Manifest:
         return json.dumps(self.__dict__, sort_keys=True)
 
 
+class Store(Protocol):
+    """What the engine asks of a state: versions of named tables, each a list of immutable runs."""
+
+    manifest: Manifest | None  # None while it is closed
+    count: Callable[[str], None]
+
+    @property
+    def opened(self) -> Manifest: ...
+
+    def open(self) -> None: ...
+
+    def close(self) -> None: ...
+
+    def runs(self, table: str) -> list[dict]: ...
+
+    def read(self, table: str, schema: str, staged: bool = True) -> DataFrame: ...
+
+    def read_runs(self, runs: list[dict], schema: str) -> DataFrame: ...
+
+    def split(self, table: str, schema: str, staged: bool = True) -> tuple[DataFrame, DataFrame | None]: ...
+
+    def stage(self, table: str, rows: DataFrame, replace: bool = False, *, sort: Sequence[str] = (), ranged: bool = False) -> dict: ...
+
+    def commit(self, batch_id: int, **note) -> int: ...
+
+    def rollback(self) -> None: ...
+
+    def backup(self) -> int: ...
+
+
 class State:
+    """A :class:`Store` of Parquet files."""
+
     def __init__(
         self,
         spark: SparkSession,
