@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -60,12 +61,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 LOCAL_ROWS = 10_000  # tables of no more rows are kept with the plan
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once: with the plan itself where it has at most ``LOCAL_ROWS`` rows, else written as by :func:`materialize`."""
-    rows = df.limit(LOCAL_ROWS + 1).toArrow()
-    if rows.num_rows > LOCAL_ROWS:
-        return materialize(df, name)
-    return df.sparkSession.createDataFrame(rows, df.schema)
+_local: weakref.WeakSet[DataFrame] = weakref.WeakSet()
+
+
+def kept(df: DataFrame, name: str, small: bool = True) -> DataFrame:
+    """``df`` computed once: with the plan itself where it has at most ``LOCAL_ROWS`` rows, else written as by :func:`materialize`.
+
+    What is known not to be ``small`` is written at once; finding out costs the part of ``df`` before its last shuffle.
+    """
+    if small:
+        rows = df.limit(LOCAL_ROWS + 1).toArrow()
+        if rows.num_rows <= LOCAL_ROWS:
+            found = df.sparkSession.createDataFrame(rows, df.schema)
+            _local.add(found)
+            return found
+    return materialize(df, name)
+
+
+def is_local(df: DataFrame) -> bool:
+    """Whether :func:`kept` found ``df`` small."""
+    return df in _local
 
 
 T = TypeVar("T")

@@ -25,7 +25,7 @@ from ..operators import indices
 from ..operators.filters import DELETE, MODES, SKIP, Filter, with_modes
 from ..plans.builder import build, prune, to_json
 from ..plans.relations import Relation, edges, entities, validate
-from ..storage import kept, scratch, side_by_side
+from ..storage import is_local, kept, scratch, side_by_side
 from .metrics import Metrics
 from .queueing import LOW, NONE, QUEUE, RANK, Strategy, by_priority, drain, enqueue, medium, ranked
 from .state import Store
@@ -187,14 +187,15 @@ class Engine:
         empty = not self.state.opened.tables
         mine = [e for e in entities(self.roots) if e in batch]
         taken = side_by_side(partial(self._take, e, batch[e]) for e in mine)
-        images = {e: image for e, image in zip(mine, taken) if image is not None}
+        images = {e: found[0] for e, found in zip(mine, taken) if found is not None}
+        small = all(found is None or found[1] for found in taken)
         tables = {e: self.records(e) for e in entities(self.roots)}
         if empty and not lagging:  # every root is new: no parent index to ask, nothing to prune
             for root in self.roots:
                 self._create_all(root, tables, images, batch_id)
         else:
             for root in self.roots:
-                self._create(root, tables, self._affected(root, tables, images), list(images), batch_id, lagging)
+                self._create(root, tables, self._affected(root, tables, images, small), list(images), batch_id, lagging, small)
         if self.compact_every and (self.state.opened.version + 1) % self.compact_every == 0:
             self.compact()
         with self.metrics.timed("states.committed"):
@@ -202,8 +203,8 @@ class Engine:
         if self.backup_every and self.state.opened.version % self.backup_every == 0:
             self.backup()
 
-    def _take(self, entity: str, changes: DataFrame) -> DataFrame | None:
-        """Filter and reduce an entity's changes, stage them as a run; the images before and after."""
+    def _take(self, entity: str, changes: DataFrame) -> tuple[DataFrame, bool] | None:
+        """Filter and reduce an entity's changes, stage them as a run; the images before and after, and whether they are few."""
         known, first = self.inputs[entity], not self.state.opened.tables.get(f"latest/{entity}")
         changes = changes.filter((F.length("pk") > 0) & F.col("seq").isNotNull()).select("pk", "seq", conform(changes, known.schema).alias("value"))
         old = None
@@ -216,16 +217,17 @@ class Engine:
         value = F.when(F.col("mode") != DELETE, F.col("value"))
         last = moded.filter(F.col("mode") != SKIP).groupBy("pk").agg(F.max_by(F.struct("seq", value.alias("value")), "seq").alias("c"))
         last = last.select("pk", "c.seq", "c.value")
-        none = F.lit(None).cast(known.schema)
+        none, small = F.lit(None).cast(known.schema), False
         if first:
             run = self.state.stage(f"latest/{entity}", last, sort=["pk"])
             image = self.state.read_runs([run], self._record_schema(entity)).select("pk", none.alias("old"), F.col("value").alias("new"))
         else:
             last = kept(last, "last")
+            small = is_local(last)
             had = self.versions(entity, staged=False, keys=last.select("pk")) if old is None else old
             newer = last.join(had.select("pk", F.col("seq").alias("_had"), F.col("value").alias("old")), "pk", "left")
             newer = newer.filter(F.col("_had").isNull() | (F.col("seq") > F.col("_had")))
-            image = kept(newer.select("pk", "seq", "old", F.col("value").alias("new")), "images")
+            image = kept(newer.select("pk", "seq", "old", F.col("value").alias("new")), "images", small)
             self.state.stage(f"latest/{entity}", image.select("pk", "seq", F.col("new").alias("value")), sort=["pk"])
             image = image.select("pk", "old", "new")
         modes = {m: n for m, n in seen.get.items() if n}
@@ -233,9 +235,9 @@ class Engine:
         for key in self.join_keys[entity]:
             moved = indices.join_changes(image, image.select(F.col("new").alias("value")), key)
             self.state.stage(f"join/JK|{entity}|{key}", moved, sort=["fk"])
-        return image if set(modes) - {SKIP} else None
+        return (image, small) if set(modes) - {SKIP} else None
 
-    def _affected(self, root: Relation, tables, images: Mapping[str, DataFrame]) -> DataFrame:
+    def _affected(self, root: Relation, tables, images: Mapping[str, DataFrame], small: bool = True) -> DataFrame:
         """:func:`indices.affected_roots` by lookups in the stored parent index: ``pk, entity``."""
         parts = []
         for entity, image in images.items():
@@ -245,7 +247,7 @@ class Engine:
                 if e.child.entity == entity:
                     both = [indices.index_key(tables[entity], e.child.join_key, F.col(x)) for x in ("old", "new")]
                     keys = image.select(F.explode(F.array(*both)).alias("fk")).filter("fk is not null").distinct()
-                    hits = self.parent_hits(root, e.id, kept(keys, "keys"))
+                    hits = self.parent_hits(root, e.id, kept(keys, "keys", small))
                     parts.append(hits.select("pk", F.lit(entity).alias("entity")))
         if not parts:
             return self.spark.createDataFrame([], "pk binary, entity string")
@@ -264,15 +266,16 @@ class Engine:
         self.metrics.created(name, {priority: n})
         self.metrics.to_create(name, {})
 
-    def _create(self, root: Relation, tables, affected: DataFrame, changed: list[str], batch_id: int, lagging: bool = False) -> None:
+    def _create(self, root: Relation, tables, affected: DataFrame, changed: list[str], batch_id: int, lagging: bool = False, small: bool = False) -> None:
         name = root.denormalized_name
-        new = kept(ranked(affected, name, self.strategy, changed), "affected")
+        new = kept(ranked(affected, name, self.strategy, changed), "affected", small)
+        small = is_local(new)
         found = by_priority(new)
         self.metrics.dropped(name, found.pop(NONE, 0))
         waiting = bool(self.state.runs(f"queue/{name}"))
         if waiting or lagging or self.low_budget is not None or self.budget is not None:
-            queued = kept(enqueue(self.queue(root), new, batch_id), "queue")
-            now = kept(drain(queued, self.low_budget, self.budget, self.create_trigger if lagging else None), "drained")
+            queued = kept(enqueue(self.queue(root), new, batch_id), "queue", small)
+            now = kept(drain(queued, self.low_budget, self.budget, self.create_trigger if lagging else None), "drained", small or is_local(queued))
             drained = by_priority(now)
             rest = queued.join(now.select("pk"), "pk", "left_anti")
             left = by_priority(rest)
@@ -281,7 +284,7 @@ class Engine:
         if drained:
             pks = now.select("pk")
             mine = {**tables, root.entity: self.records(root.entity, keys=pks)}
-            below = prune(mine, root, pks, lambda df: kept(df.select("pk", "value"), "below"), self._fetch)
+            below = prune(mine, root, pks, lambda df: kept(df.select("pk", "value"), "below", small), self._fetch)
             self.sink(name, to_json(build(tables, root, pks, below)), batch_id)
             none = F.lit(None)
             marks = pks.select(none.cast("string").alias("edge"), none.cast("binary").alias("fk"), "pk")
