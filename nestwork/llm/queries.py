@@ -69,6 +69,28 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_runs(spark, sf_dir).select("doc_id", "item_id")
 
 
+def _item_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    return reader(spark, sf_dir)("eval_item").select("item_id", "text", words.alias("ws"))
+
+
+def p6_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made of the items, whole and with a foreign word after every 19 of theirs: only the whole ones hold a run."""
+    items = _item_words(spark, sf_dir)
+    broken = F.array_join(F.flatten(F.transform("ws", lambda w, i: F.when(i % 19 == 18, F.array(w, F.lit("q" * 24))).otherwise(F.array(w)))), " ")
+    whole = items.select((F.col("item_id") * 2).alias("doc_id"), "text")
+    pages = whole.unionByName(items.select((F.col("item_id") * 2 + 1).alias("doc_id"), broken.alias("text")))
+    return leaked_passages(pages, reader(spark, sf_dir)("eval_item"), boxes=None).select("doc_id", "item_id")
+
+
+def p8_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made of the items, once and twice in a row: only the latter repeat themselves."""
+    items = reader(spark, sf_dir)("eval_item")
+    page = lambda odd, text: items.select((F.col("item_id") * 2 + odd).alias("doc_id"), text.alias("text"), "lang")
+    pages = page(0, F.col("text")).unionByName(page(1, F.concat_ws("\n", "text", "text")))
+    return repetitive_pages(pages, boxes=None).select("doc_id")
+
+
 def _sized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader(spark, sf_dir)("documents").select("doc_id", "source", word_count("text").alias("size"))
 
@@ -125,6 +147,7 @@ QUERIES = {
     "p5_link_counts": p5_link_counts,
     "p6_found": p6_found,
     "p6_runs": p6_runs,
+    "p6_planted": p6_planted,
     "p7_found": p7_found,
     "p7_plan": p7_plan,
     "p7_draw": p7_draw,
@@ -133,6 +156,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_shares": p8_shares,
     "p8_cutoffs": p8_cutoffs,
+    "p8_planted": p8_planted,
 }
 
 _STATE = """select {cols} from (select *, row_number() over (partition by {keys} order by change_seq desc, arrived_at) as rn
@@ -177,6 +201,9 @@ SQL = {
       e as (select ida as id, idb as o from l union select idb, ida from l),
       k as (select id, count(*) as n from e group by id)
       select c.p as playlist_id, c.id as set_id, coalesce(k.n, 0) as n_links from c left join k on c.id = k.id""",
+    "p6_planted": r"""select item_id * 2 as doc_id, item_id from eval_item
+      where len([w for w in regexp_split_to_array(text, '\s+') if regexp_matches(w, '[\p{L}\p{N}]')]) >= 20""",
+    "p8_planted": "select item_id * 2 + 1 as doc_id from eval_item where trim(text) <> ''",
     "p7_found": f"select source from ({_P7}) where short",
     "p7_plan": _P7,
     "p7_drawn_counts": f"select source, weight, wanted, short, true as held from ({_P7.replace('select source,', 'select source, weight,', 1)})",
