@@ -406,20 +406,6 @@ def keyset_operations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _key_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    get = reader(spark, d)
-    a = get("orders").select(F.col("o_custkey").alias("k"))
-    return a, get("customer").select(F.col("c_custkey").alias("k")).filter("k % 2 = 0")
-
-
-def keyset_rows_union(spark: SparkSession, d: str) -> DataFrame:
-    return keysets.rows_union(*_key_rows(spark, d))
-
-
-def keyset_rows_minus(spark: SparkSession, d: str) -> DataFrame:
-    return keysets.rows_minus(*_key_rows(spark, d))
-
-
 def _whole_key_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Two whole columns that differ both ways: owners of playlists, and users."""
     get = reader(spark, d)
@@ -601,8 +587,7 @@ QUERIES = {
         denormalized_media, denormalized_players, denormalized_json, latest_by_key, latest_with_tombstones, filter_skip,
         filter_mode_counts, change_detection, filter_last_kept, join_index_forward, join_index_reverse, parent_index, parent_index_scrub,
         verify_index, affected_roots, incremental_equals_full, key_encoding_int, key_encoding_string, key_encoding_boolean,
-        key_encoding_composite, keyset_operations, keyset_rows_union, keyset_rows_minus,
-        keyset_whole_union, keyset_whole_minus, keyset_whole_minus_back, queue_priorities, queue_drain, queue_slices,
+        key_encoding_composite, keyset_operations, keyset_whole_union, keyset_whole_minus, keyset_whole_minus_back, queue_priorities, queue_drain, queue_slices,
         stream_player_documents, memory_log_latest, point_lookup, log_lag, join_index_update, join_index_changes,
         index_add_remove, index_dump, keyset_contains, replay_rounds,
     )
@@ -690,8 +675,6 @@ SQL = {
         g as (select l_orderkey, h, bool_or(r = 1) as a, bool_or(r = 0) as b from x group by 1, 2)
       select l_orderkey, count(*) filter (a) as n_a, count(*) filter (b) as n_b, count(*) as n_union, count(*) filter (a and not b) as n_minus,
         count(*) filter (a and b) as n_both, string_agg(h, ',' order by h) as keys from g group by 1""",
-    "keyset_rows_union": "select o_custkey as k from orders union select c_custkey from customer where c_custkey % 2 = 0",
-    "keyset_rows_minus": "select o_custkey as k from orders except select c_custkey from customer where c_custkey % 2 = 0",
     "keyset_whole_union": "select user_id as k from playlist union select user_id from users",
     "keyset_whole_minus": "select user_id as k from playlist except select user_id from users",
     "keyset_whole_minus_back": "select user_id as k from users except select user_id from playlist",
