@@ -88,7 +88,7 @@ def next_positions(raw: DataFrame) -> DataFrame:
 # -- streams
 
 IGNORED = {"auto.offset.reset", "enable.auto.commit"}
-OWN = {"topic.class", "topic.name", "filter.class", "key.serde.class", "value.serde.class", "jackson.serde.class", "poll.timeout", "keys", "schema", "path"}
+OWN = {"topic.class", "topic.name", "filter.class", "key.serde.class", "value.serde.class", "jackson.serde.class", "poll.timeout", "keys", "schema", "path", "key.avro.schema", "value.avro.schema"}
 
 
 def kafka_options(config: Mapping[str, object]) -> dict[str, str]:
@@ -106,9 +106,18 @@ def kafka_options(config: Mapping[str, object]) -> dict[str, str]:
 def kafka_stream(spark: SparkSession, config: Mapping[str, object]) -> DataFrame:
     """A topic as a streaming raw log; needs Spark's Kafka package on the class path."""
     df = spark.readStream.format("kafka").options(**kafka_options(config)).load()
-    return df.select(
-        F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), F.col("partition").alias("part"), F.col("offset").alias("pos")
-    )
+    return df.select(*(record_text(F.col(x), config, x).alias(x) for x in ("key", "value")), F.col("partition").alias("part"), F.col("offset").alias("pos"))
+
+
+def record_text(col: Column, config: Mapping[str, object], side: str) -> Column:
+    """Bytes of a topic's ``key`` or ``value`` as JSON text. Where its serde class is one of Avro, they are read by
+    ``key.avro.schema`` or ``value.avro.schema`` (the text of the schema); all others hold JSON."""
+    if "avro" not in str(config.get(f"{side}.serde.class", "")).lower():
+        return col.cast("string")
+    name = f"{side}.avro.schema"
+    if not config.get(name):
+        raise ValueError(f"{name} must be given for Avro records")
+    return F.to_json(avro_record(col, str(config[name])))
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:

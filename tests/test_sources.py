@@ -214,3 +214,11 @@ def test_lag_of_sources():
     m = Metrics()
     m.lag({"t": 8, "u": 1})
     assert m.report()["topic.lag"] == 9 and m.report()["topic.lag.t"] == 8
+
+
+def test_record_text(spark, rows):
+    df = spark.createDataFrame([(bytearray(b'{"id":1}'),), (None,)], "value binary")
+    assert rows(df.select(logs.record_text(F.col("value"), {"value.serde.class": "a.JsonSerde"}, "value"))) == [('{"id":1}',), (None,)]
+    with pytest.raises(ValueError, match="value.avro.schema"):
+        logs.record_text(F.col("value"), {"value.serde.class": "a.AvroSerde"}, "value")
+    assert "kafka.value.avro.schema" not in logs.kafka_options({"bootstrap.servers": "b", "topic.name": "t", "value.avro.schema": "{}"})
