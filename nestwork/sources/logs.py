@@ -96,10 +96,10 @@ def kafka_options(config: Mapping[str, object]) -> dict[str, str]:
     client = {k: v for k, v in config.items() if k not in OWN | IGNORED and not k.startswith("schema.registry")}
     servers = str(client.pop("bootstrap.servers"))
     out = {f"kafka.{k}": str(v) for k, v in client.items() if k not in ("client.id", "group.id", "acks")}
-    out.pop("kafka.topic.lag.trigger", None)
-    if "records.per.trigger" in config:
-        out.pop("kafka.records.per.trigger", None)
-        out["maxOffsetsPerTrigger"] = str(config["records.per.trigger"])
+    for name in ("topic.lag.trigger", "records.per.trigger"):  # in a topic's section either bounds what a batch reads of it
+        out.pop(f"kafka.{name}", None)
+        if name in config:
+            out["maxOffsetsPerTrigger"] = str(config[name])
     return out | {"kafka.bootstrap.servers": servers, "subscribe": str(config["topic.name"]), "startingOffsets": "earliest"}
 
 
