@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 from fractions import Fraction
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changelog import current_state
 from ..sources.tables import reader
-from ..storage import materialize
+from ..storage import materialize, side_by_side
 from .cooccurrence import cooccurring_pairs
 from .leaks import leaked_passages
 from .mixing import mixed_pages, source_plan, with_token_counts, word_count
@@ -48,8 +49,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = expand(links, members)
         return found.select(F.lit(kind).alias("kind"), F.col("rec_a").alias("playlist_a"), F.col("rec_b").alias("playlist_b"))
 
-    tags = one("tags", _tag_sets(spark, sf_dir), "user_tag_id")
-    return one("media", _media_sets(spark, sf_dir), "media_id").unionByName(tags)
+    kinds = (("media", _media_sets(spark, sf_dir), "media_id"), ("tags", _tag_sets(spark, sf_dir), "user_tag_id"))
+    media, tags = side_by_side(partial(one, *k) for k in kinds)
+    return media.unionByName(tags)
 
 
 def p5_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
