@@ -4,12 +4,13 @@
 earlier on the same page: equal words by a lookup of all fours, and copies with scanning faults on the
 stream of letters, where misread letters and broken words don't end a stretch. The measured share differs a little from the true one, because of scanning faults.
 
-So the cutoff on the measured share is chosen per stratum on labelled holdouts: pages of the corpus
-that repeat next to nothing (a bounded sample, ``HOLDOUT`` per stratum, by hash of the id) into which
-repeats of a known true share and scanning faults are planted, once below the asked share and once
-above. A rejection is false if the true share is below the asked one. Cutoffs are tested from the
-strictest down, each passing if the exact (Clopper-Pearson) upper bound of its rate of false
-rejections is at most ``risk``; testing stops at the first failure, so the sequence needs no
+So the cutoff on the measured share is chosen per stratum on labelled holdouts: all pages of the
+corpus that repeat next to nothing, into which repeats of a known true share and scanning faults are
+planted, once below the asked share and once above (which no cutoff depends on). A page is read once
+for its share and its trials; of the trials only the number that reach each cutoff is kept. Exact
+copies of a row make one trial. A rejection is false if the true share is below the asked one. Cutoffs
+are tested from the strictest down, each passing if the exact (Clopper-Pearson) upper bound of its rate
+of false rejections is at most ``risk``; testing stops at the first failure, so the sequence needs no
 correction, and the error ``DELTA`` is divided by the number of strata (Bonferroni). With probability
 1 - ``DELTA`` no stratum's rate exceeds ``risk``. The rate is that of pages whose true share is uniform
 below the asked one, one independent trial per page; a corpus, most of whose pages repeat nothing,
@@ -26,22 +27,22 @@ are ignored.
 from __future__ import annotations
 
 import random
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
-from math import exp, lgamma, log, log1p
+from math import isqrt, lgamma, log, log1p
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .pages import BREAK_MARKS, fold, grams, page_columns, read_pages
 
 SEED, NOISE, SHIFT, WORDS = 8, 14, 2, 4
-HOLDOUT, DELTA, RISK, POOLED = 400, 0.05, 0.05, "*"
+DELTA, RISK, POOLED = 0.05, 0.05, "*"
 MISREAD, STRAY, BROKEN = 0.01, 0.01, 0.25  # faults planted: per letter, per word, per line
 CUTOFFS = [c / 100 for c in range(45, 9, -1)]
 
@@ -152,12 +153,14 @@ def upper_bound(bad: int, n: int, delta: float) -> float:
     if bad >= n:
         return 1.0
     lo, hi = bad / n, 1.0
-    ways = [lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) for k in range(bad + 1)]
+    # the terms fall away from ``bad`` at least like exp(-d * d / (2 * bad)), so those far below it add nothing
+    k = np.arange(max(0, bad - 10 * isqrt(bad) - 50), bad + 1)
+    ways = np.array([lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) for i in k.tolist()])
     for _ in range(60):
         p = (lo + hi) / 2
         if p <= 0 or p >= 1:
             break
-        tail = sum(exp(w + k * log(p) + (n - k) * log1p(-p)) for k, w in enumerate(ways))
+        tail = np.exp(ways + k * log(p) + (n - k) * log1p(-p)).sum()
         lo, hi = (p, hi) if tail > delta else (lo, p)
     return hi
 
@@ -180,12 +183,21 @@ def planted(words: list[str], goal: float, rng: random.Random) -> list[str]:
     return out
 
 
+def _well_read(rng: random.Random) -> int:
+    """Letters before the next misread one, each misread by itself with the chance ``MISREAD``."""
+    return int(log(1 - rng.random()) / log1p(-MISREAD))
+
+
 def faulty_lines(words: list[str], rng: random.Random) -> list[str]:
     """``words`` set in lines, with misread letters, stray blanks and words broken at line ends."""
     lines, line, room = [], [], rng.randint(28, 42)
     used = 0
+    ahead = _well_read(rng)
     for word in words:
-        word = "".join(rng.choice("acehnorstu") if rng.random() < MISREAD else c for c in word)
+        while ahead < len(word):
+            word = word[:ahead] + rng.choice("acehnorstu") + word[ahead + 1 :]
+            ahead += 1 + _well_read(rng)
+        ahead -= len(word)
         if len(word) > 5 and rng.random() < STRAY:
             cut = rng.randrange(2, len(word) - 1)
             word = f"{word[:cut]} {word[cut:]}"
@@ -204,67 +216,111 @@ def faulty_lines(words: list[str], rng: random.Random) -> list[str]:
 def certified_cutoff(measured: list[float], true: list[float], at_least: float, risk: float, delta: float) -> float | None:
     """The lowest cutoff certified by testing from the strictest down; None if none is."""
     good = sorted(m for m, t in zip(measured, true) if t < at_least)
+    return _lowest([len(good) - bisect_left(good, cutoff) for cutoff in CUTOFFS], len(good), risk, delta)
+
+
+def _lowest(bad: list[int], n: int, risk: float, delta: float) -> float | None:
+    """The same from how many of ``n`` trials reach each of ``CUTOFFS``."""
     best = None
-    for cutoff in CUTOFFS:
-        bad = len(good) - bisect_left(good, cutoff)
-        if not good or upper_bound(bad, len(good), delta) > risk:
+    for cutoff, reach in zip(CUTOFFS, bad):
+        if not n or upper_bound(reach, n, delta) > risk:
             break
         best = cutoff
     return best
 
 
-def _trials(at_least: float):
-    """Per page of a holdout that repeats next to nothing: the true and the measured share of what is planted in it."""
+def _levels(at_least: float) -> list[float]:
+    """What measured shares are compared with, ascending."""
+    return sorted({*CUTOFFS, at_least})
+
+
+def _with_trials(
+    pages: DataFrame, at_least: float, above: bool, *, text: str = "text", boxes: str | None = "boxes", doc_id: str = "doc_id", stratum: str = "lang"
+) -> DataFrame:
+    """:func:`repeated_share` with a hash ``h`` of the page and, for its trials ``below`` and (if asked for) ``above``, how many levels each reached.
+
+    Null: the page is no holdout, as it is short or repeats itself. -1: what was to be below came out above, or
+    the other way round, so it is no trial.
+    """
+    kind = pages.schema[doc_id].dataType.simpleString()
+    levels = _levels(at_least)
+
+    def trial(words: list[str], goal: float, below: bool, rng: random.Random) -> int:
+        made = planted(words, goal, rng)
+        n, again = repeated_words(faulty_lines(made, rng))
+        return bisect_right(levels, again / n) if (true_share(made) < at_least) == below else -1
 
-    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            who, kinds, true, measured = [], [], [], []
-            for i, (key, lines) in enumerate(zip(batch.column("h").to_pylist(), read_pages(batch))):
+            found = []
+            for key, lines in zip(batch.column("h").to_pylist(), read_pages(batch)):
                 n, again = repeated_words(lines)
-                if n < 40 or again > 0.05 * n:
-                    continue
-                rng = random.Random(key)
-                words = fold(" ".join(lines)).split()
-                for below, goal in ((True, rng.uniform(0, at_least)), (False, rng.uniform(at_least, 0.8))):
-                    made = planted(words, goal, rng)
-                    n, again = repeated_words(faulty_lines(made, rng))
-                    who.append(i)
-                    kinds.append(below)
-                    true.append(true_share(made))
-                    measured.append(again / n)
+                low = high = None
+                if n >= 40 and again <= 0.05 * n:
+                    rng = random.Random(key)
+                    words = fold(" ".join(lines)).split()
+                    goals = rng.uniform(0, at_least), rng.uniform(at_least, 0.8)
+                    low = trial(words, goals[0], True, rng)
+                    high = trial(words, goals[1], False, rng) if above else None
+                found.append((n, again, again / n if n else 0.0, low, high))
+            made = zip((pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), zip(*found) if found else [()] * 5)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("strata").take(pa.array(who, pa.int64())), pa.array(kinds, pa.bool_()), pa.array(true), pa.array(measured)]
-                if who
-                else [pa.array([], pa.list_(pa.string())), pa.array([], pa.bool_()), pa.array([], pa.float64()), pa.array([], pa.float64())],
-                ["strata", "below", "true", "measured"],
+                [*(batch.column(c) for c in ("doc_id", "stratum", "h")), *(pa.array(values, t) for t, values in made)],
+                ["doc_id", "stratum", "h", "n_words", "n_repeated", "share", "below", "above"],
             )
 
-    return plant
+    have = pages.select(F.col(doc_id).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), *page_columns(pages, text, boxes))
+    return have.withColumn("h", F.xxhash64("doc_id", "text", "xs", "ys")).mapInArrow(
+        measure, f"doc_id {kind}, stratum string, h long, n_words long, n_repeated long, share double, below int, above int"
+    )
 
 
 def _certify(at_least: float, risk: float, delta: float):
+    levels = _levels(at_least)
+
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        # what was to be below and came out above is no trial of a false rejection, and the other way round
-        below = rows[rows["below"] & (rows["true"] < at_least)]["measured"].tolist()
-        above = rows[~rows["below"] & (rows["true"] >= at_least)]["measured"].tolist()
-        cutoff = certified_cutoff(below, [0.0] * len(below), at_least, risk, delta)
+        def trials(kind: str) -> int:
+            return int(rows["n"][rows[kind] >= 0].sum())
+
+        def reach(kind: str, level: float) -> int:
+            return int(rows["n"][rows[kind] > levels.index(level)].sum())
+
+        n, n_above = trials("below"), trials("above")
+        cutoff = _lowest([reach("below", c) for c in CUTOFFS], n, risk, delta)
         at = at_least if cutoff is None else cutoff
-        bad = sum(m >= at for m in below)
+        bad = reach("below", at)
         return pd.DataFrame(
             {
                 "stratum": [rows["stratum"].iloc[0]],
                 "cutoff": pd.array([cutoff], "Float64"),
-                "n_below": [len(below)],
+                "n_below": [n],
                 "n_false": [bad],
-                "bound": [upper_bound(bad, len(below), delta) if below else 1.0],
-                "n_above": [len(above)],
-                "n_missed": [sum(m < at for m in above)],
+                "bound": [upper_bound(bad, n, delta) if n else 1.0],
+                "n_above": [n_above],
+                "n_missed": [n_above - reach("above", at)],
             }
         )
 
     return one
 
 
+def _certified(measured: DataFrame, at_least: float, risk: float) -> tuple[DataFrame, list[str]]:
+    """:func:`cutoffs` from the written rows of :func:`_with_trials`."""
+    name = F.lower(F.trim("stratum"))
+    counts = measured.groupBy(name.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    large = counts.filter(F.col("s").isNotNull() & (F.col("s") != POOLED) & (F.col("n") * 100 >= total))
+    own = [r["s"] for r in large.select("s").collect()]  # 100 at most
+    mine = F.when(name.isin(own), name).otherwise(F.lit("other"))
+    trials = measured.filter("below is not null").select("h", F.explode(F.array(mine, F.lit(POOLED))).alias("stratum"), "below", "above")
+    reached = trials.distinct().groupBy("stratum", "below", "above").agg(F.count(F.lit(1)).alias("n"))  # levels squared per stratum at most
+    found = reached.groupBy("stratum").applyInPandas(
+        _certify(at_least, risk, DELTA / (len(own) + 2)),
+        "stratum string, cutoff double, n_below long, n_false long, bound double, n_above long, n_missed long",
+    )
+    return materialize(found, "cutoffs"), own
+
+
 def cutoffs(
     pages: DataFrame,
     at_least: float = 0.25,
@@ -276,32 +332,16 @@ def cutoffs(
     stratum: str = "lang",
 ) -> tuple[DataFrame, list[str]]:
     """Per stratum the certified cutoff (null if there is none) with the holdout's counts, and the strata that stand alone."""
-    name = F.lower(F.trim(F.col(stratum).cast("string")))
-    counts = pages.groupBy(name.alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    large = counts.filter(F.col("s").isNotNull() & (F.col("s") != POOLED) & (F.col("n") * 100 >= total))
-    own = [r["s"] for r in large.select("s").collect()]  # 100 at most
-    mine = F.when(name.isin(own), name).otherwise(F.lit("other"))
-    h = F.xxhash64(doc_id)
-    ids = pages.select(F.col(doc_id).alias("doc_id"), h.alias("h"), F.explode(F.array(mine, F.lit(POOLED))).alias("stratum"))
-    pick = Window.partitionBy("stratum").orderBy("h", "doc_id")  # limited in every task before the shuffle
-    ids = ids.withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= HOLDOUT)
-    ids = ids.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("stratum")).alias("strata"))  # HOLDOUT for each stratum at most
-    sample = pages.select(F.col(doc_id).alias("doc_id"), *page_columns(pages, text, boxes)).join(F.broadcast(ids), "doc_id")
-    sample = sample.dropDuplicates(["doc_id"]).drop("doc_id").repartition(4 * (len(own) + 2))
-    trials = sample.mapInArrow(_trials(at_least), "strata array<string>, below boolean, true double, measured double")
-    trials = materialize(trials, "trials").select(F.explode("strata").alias("stratum"), "below", "true", "measured")
-    found = trials.groupBy("stratum").applyInPandas(
-        _certify(at_least, risk, DELTA / (len(own) + 2)),
-        "stratum string, cutoff double, n_below long, n_false long, bound double, n_above long, n_missed long",
-    )
-    return materialize(found, "cutoffs"), own
+    columns = {"text": text, "boxes": boxes, "doc_id": doc_id, "stratum": stratum}
+    trials = _with_trials(pages, at_least, True, **columns).select("stratum", "h", "below", "above")
+    return _certified(materialize(trials, "trials"), at_least, risk)
 
 
 def repetitive_pages(pages: DataFrame, at_least: float = 0.25, risk: float = RISK, **columns: str) -> DataFrame:
     """Pages whose measured share reaches their stratum's cutoff: the columns of :func:`repeated_share` and ``cutoff``."""
-    chosen, own = cutoffs(pages, at_least, risk, **columns)
-    shares = repeated_share(pages, **columns)
+    measured = materialize(_with_trials(pages, at_least, False, **columns), "trials")
+    chosen, own = _certified(measured, at_least, risk)
+    shares = measured.select("doc_id", "stratum", "n_words", "n_repeated", "share")
     name = F.lower(F.trim("stratum"))
     key = F.when(name.isin(own), name).otherwise(F.lit("other"))
     few = chosen.filter(F.col("cutoff").isNotNull()).select(F.col("stratum").alias("_s"), "cutoff")  # 102 rows at most

@@ -112,6 +112,34 @@ def test_found_pages(spark):
     assert repetitive_pages(df.filter("doc_id < 20")).isEmpty()
 
 
+def test_every_page_is_a_holdout(spark):
+    r = random.Random(11)
+    rows = [(i, "\n".join(lines_of(words(r, 60))), "en" if i % 5 else "de", None) for i in range(1000)]
+    rows += [(i, "a b c\n" * 30, "en", None) for i in range(1000, 1010)]  # repeats itself
+    rows += rows[:50]  # exact copies are one trial
+    rows += [(i, "\n".join(lines_of(words(r, 60))), "de", None) for i in range(0, 20, 5)]  # other texts under the same ids
+    df = spark.createDataFrame(rows, PAGES)
+    table, own = cutoffs(df)
+    chosen = {c.stratum: c for c in table.collect()}
+    assert sorted(own) == ["de", "en"] and set(chosen) == {"de", "en", "*"}
+    # a trial is left out only if what was to be below came out above, or the other way round
+    for name, n in (("de", 204), ("en", 800), ("*", 1004)):
+        assert 0.9 * n <= chosen[name].n_below <= n and 0.9 * n <= chosen[name].n_above <= n
+    assert all(sum(getattr(chosen[s], c) for s in own) == getattr(chosen["*"], c) for c in ("n_below", "n_above"))
+    # what is rejected uses the same cutoffs, though it plants nothing above the asked share
+    got = {p.doc_id: p.cutoff for p in repetitive_pages(df).collect()}
+    assert set(got) == set(range(1000, 1010)) and set(got.values()) == {chosen["en"].cutoff}
+
+
+def test_bound_of_many_trials():
+    from math import exp, lgamma, log, log1p
+
+    k, n, delta = 50_000, 1_000_000, 0.01
+    p = upper_bound(k, n, delta)
+    ways = (lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) for i in range(k + 1))
+    assert sum(exp(w + i * log(p) + (n - i) * log1p(-p)) for i, w in enumerate(ways)) == pytest.approx(delta, rel=1e-6)
+
+
 def test_edges(spark):
     rows = [(1, None, None, None), (2, "", "en", []), (3, "a b c d\na b c d\na b c d", "en", None), (3, "x", "en", None)]
     df = spark.createDataFrame([(*r, 1.0, "x") for r in rows], PAGES + ", share double, stratum string")
